@@ -3,7 +3,8 @@
 A document's set holds its distinct word shingles (see ``shingles``). Documents of equal sets form a
 class, and classes are joined: two link if their sets' Jaccard likeness is at least ``percent`` / 100.
 
-The points. A set's shingles are hashed into ``GROUPS`` groups; the group counts are a point. The overlap
+The points. A set's shingles are hashed into groups, at least ``GROUPS`` and about as many as shingles; the
+group counts are a point, which folds onto ``GROUPS`` groups for the tree and onto the coarser of two for a pair. The overlap
 of two sets is at most the sum over groups of the smaller count; for two boxes of points, of the smaller
 upper corner. An R-tree is packed over the points of a cell (halved at the middle of the widest side, the
 set size among the sides, until ``LEAF`` points are left); pairs of its nodes are followed from the root down while that bound
@@ -44,12 +45,48 @@ from tidelog.llm.shingles import shingle_sets
 GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
 #: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
 SAMPLE, FREQUENT = 4000, 4
-FULL = 65535
-
-
-def point_of(shingles: np.ndarray) -> np.ndarray:
-    """Group counts; ``FULL`` means that many or more."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
+#: A count of ``FULL`` means that many or more; it bounds nothing.
+FULL, UNBOUND, FINEST = 15, 1 << 20, 1 << 14
+
+
+def point_of(shingles: np.ndarray) -> bytes:
+    """Group counts, two in a byte; the number of groups is the power of two from the set's size."""
+    groups = min(FINEST, max(GROUPS, 1 << int(max(1, len(shingles)) - 1).bit_length()))
+    counts = np.minimum(np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << np.uint8(4)).tobytes()
+
+
+def counts_of(point: bytes) -> np.ndarray:
+    packed = np.frombuffer(point, np.uint8)
+    out = np.empty(2 * len(packed), np.int32)
+    out[::2], out[1::2] = packed & 15, packed >> 4
+    out[out == FULL] = UNBOUND
+    return out
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return np.minimum(counts.reshape(groups, -1).sum(axis=1), UNBOUND).astype(np.int32)
+
+
+def bounded_pairs(points: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places that the tree leaves and that the bound at the pair's own resolution leaves too."""
+    counts = [counts_of(p) for p in points]
+    i, j, _ = CountTree(np.stack([folded(c, GROUPS) for c in counts]), sizes).pairs(percent)
+    if not len(i):
+        return i, j, i
+    widths = np.array([len(c) for c in counts])
+    common = np.minimum(widths[i], widths[j])
+    bound = np.zeros(len(i), np.int64)
+    for groups in np.unique(common).tolist():
+        at = np.flatnonzero(common == groups)
+        used = np.unique(np.concatenate([i[at], j[at]]))
+        fold = np.stack([folded(counts[k], groups) for k in used])
+        a, b = np.searchsorted(used, i[at]), np.searchsorted(used, j[at])
+        step = max(1, (1 << 21) // groups)
+        for k in range(0, len(at), step):
+            bound[at[k : k + step]] = np.minimum(fold[a[k : k + step]], fold[b[k : k + step]]).sum(axis=1)
+    kept = bound * (100 + percent) >= percent * (sizes[i] + sizes[j])
+    return i[kept], j[kept], bound[kept]
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -75,7 +112,7 @@ class CountTree:
     """An R-tree packed over points and set sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points = np.where(points == FULL, 1 << 40, points.astype(np.int64))
+        self.points = points
         self.sizes = sizes.astype(np.int64)
         self.order = np.arange(len(sizes))
         self.kids: list[tuple] = []  # start, stop, left, right
@@ -172,7 +209,8 @@ def _links_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
     """Of (cell, class, set): an edge from each linked class to the least one that it is connected with."""
     rows = list({r[1]: r for r in rows}.values())
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-    i, j, bound = CountTree(np.stack([point_of(s) for s in sets]), np.array([len(s) for s in sets])).pairs(percent)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    i, j, bound = bounded_pairs([point_of(s) for s in sets], sizes, percent)
     root = list(range(len(rows)))
 
     def find(x: int) -> int:
@@ -181,7 +219,6 @@ def _links_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
             x = root[x]
         return x
 
-    sizes = np.array([len(s) for s in sets])
     for k in np.argsort(-bound / (sizes[i] + sizes[j] + 1), kind="stable").tolist():  # likeliest first
         a, b = find(int(i[k])), find(int(j[k]))
         if a != b and linked(sets[i[k]], sets[j[k]], percent):
@@ -194,7 +231,7 @@ def _pairs_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
     rows = list({r[1]: r for r in rows}.values())
     if len({r[2] for r in rows}) < 2:
         return []
-    i, j, _ = CountTree(np.stack([np.frombuffer(r[4], np.uint16) for r in rows]), np.array([r[3] for r in rows])).pairs(percent)
+    i, j, _ = bounded_pairs([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), percent)
     return [(max(rows[a][1], rows[b][1]), min(rows[a][1], rows[b][1])) for a, b in zip(i.tolist(), j.tolist()) if rows[a][2] != rows[b][2]]
 
 
@@ -247,7 +284,7 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     def featured(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s).tobytes() for s in sets], "prefix": [prefix_of(s, percent, *frequent.value).view(np.int64) for s in sets]}
+        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "prefix": [prefix_of(s, percent, *frequent.value).view(np.int64) for s in sets]}
 
     def with_sets(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
