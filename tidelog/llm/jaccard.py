@@ -14,7 +14,7 @@ The cells. Linked sets must share one of the first ``n - ceil(t n) + 1`` shingle
 all; shingles that are frequent in a bounded sample come last in this order. So the tree is laid out over cells, one
 for each such shingle, and no pair is missed:
 
-1. Each class goes with its set to the cells of its first ``FIRST`` shingles. A cell over ``CELL`` classes is
+1. Each class goes with its set to the cells of its ``FIRST`` least shingles, which near copies are likely to share. A cell over ``CELL`` classes is
    dealt into parts by hash. In a part the tree's pairs are verified at once, and a pair whose classes are already
    connected is skipped. The links' components are found by large-star and small-star rounds.
 2. All shingles of the prefixes make cells; those whose classes are all in one component by now are
@@ -42,7 +42,7 @@ from tidelog.llm.common import id_text, map_steps, mix64
 from tidelog.llm.saved import Scratch
 from tidelog.llm.shingles import shingle_sets
 
-GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
+GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 3
 #: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
 SAMPLE, FREQUENT = 4000, 4
 #: A count of ``FULL`` means that many or more; it bounds nothing.
@@ -284,13 +284,13 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     def featured(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "prefix": [prefix_of(s, percent, *frequent.value).view(np.int64) for s in sets]}
+        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "least": [s[:FIRST].view(np.int64) for s in sets], "prefix": [prefix_of(s, percent, *frequent.value).view(np.int64) for s in sets]}
 
     def with_sets(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
         return {"class": [class_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
-    rows = scratch.save(map_steps(docs, featured, "doc_id long, class long, n long, point binary, prefix array<long>"))
+    rows = scratch.save(map_steps(docs, featured, "doc_id long, class long, n long, point binary, least array<long>, prefix array<long>"))
     real = rows.filter("n > 0 AND doc_id IS NOT NULL")
     first = real.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     classes = scratch.save(real.join(first, ["class", "doc_id"]).dropDuplicates(["class"]))
@@ -305,7 +305,7 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         both = cells.join(sizes.filter("size > 1"), "key")
         return both.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("class", "key"), F.ceil(F.col("size") / CELL))))
 
-    near = classes.select("class", F.explode(F.slice("prefix", 1, FIRST)).alias("key"))
+    near = classes.select("class", F.explode("least").alias("key"))
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     near = scratch.save(in_parts(near, sizes).select("cell", "class"))
     members = near.join(sets_of(near.select("class").distinct()), "class").select("cell", "class", "shingles")
