@@ -46,7 +46,7 @@ GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 3
 #: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
 SAMPLE, FREQUENT = 4000, 4
 #: A count of ``FULL`` means that many or more; it bounds nothing.
-FULL, UNBOUND, FINEST = 15, 1 << 20, 1 << 14
+FULL, UNBOUND, FINEST = 15, 1 << 20, 256
 
 
 def point_of(shingles: np.ndarray) -> bytes:
@@ -70,8 +70,16 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 def bounded_pairs(points: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of places that the tree leaves and that the bound at the pair's own resolution leaves too."""
-    counts = [counts_of(p) for p in points]
-    i, j, _ = CountTree(np.stack([folded(c, GROUPS) for c in counts]), sizes).pairs(percent)
+    if len(points) <= LEAF:  # a tree of one leaf
+        i, j = np.triu_indices(len(points), 1)
+        near = (sizes[i] * 100 >= percent * sizes[j]) & (sizes[j] * 100 >= percent * sizes[i])
+        if not near.any():
+            return (np.zeros(0, np.int64),) * 3
+        i, j = i[near], j[near]
+        counts = [counts_of(p) for p in points]
+    else:
+        counts = [counts_of(p) for p in points]
+        i, j, _ = CountTree(np.stack([folded(c, GROUPS) for c in counts]), sizes).pairs(percent)
     if not len(i):
         return i, j, i
     widths = np.array([len(c) for c in counts])
