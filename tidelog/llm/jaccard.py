@@ -325,9 +325,9 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     wide = named.select("class", "component", "n", F.explode("prefix").alias("key"))
     mixed = wide.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     mixed = mixed.filter(f"low <> high AND (size > 2 OR least * 100 >= most * {percent})").select("key", "size")
-    held = wide.join(mixed, "key").select("key", "size", "class")
-    held = held.join(named.select("class", "component", "n", "point"), "class")
-    open_pairs = _mapped(_crossed(held, percent).repartition("cell").sortWithinPartitions("cell"), _pairs_in_cell, percent)
+    held = wide.join(mixed, "key").select("key", "size", "class", "n")
+    crossed = _crossed(held, percent).join(named.select("class", "component", "n", "point"), "class")
+    open_pairs = _mapped(crossed.select("cell", "class", "component", "n", "point").repartition("cell").sortWithinPartitions("cell"), _pairs_in_cell, percent)
     pairs = scratch.save(open_pairs.distinct())
     if pairs.isEmpty():
         every = joined
@@ -357,7 +357,7 @@ def _crossed(held: DataFrame, percent: int) -> DataFrame:
     dealt = banded.join(counts, ["key", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    return dealt.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class", "component", "n", "point")
+    return dealt.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class")
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
