@@ -9,7 +9,7 @@ Nyström features are its kernels with the landmarks, whitened; a linear squared
 on sentences: a sentence of a toxic text is represented by its likeliest unit, chosen anew in each
 round, and sentences that the machine doesn't find toxic drop out; sentences of clean texts are
 negative with all their units. A text's score is a logistic
-function, fitted on the sample, of its two highest margins.
+function, fitted on the sample, of its two highest margins, as far as they are positive.
 
 A kernel is 0 exactly if the longest common subsequence is shorter than ``LENGTH``; that length is
 computed first for all unit-landmark pairs by bit-parallel dynamic programming, and the kernel for the
@@ -34,7 +34,7 @@ from tidelog.llm.common import crc_mod, id_text, score_column
 from tidelog.llm.quality import labelled
 
 LENGTH, DECAY = 4, 0.6
-SAMPLE, POSITIVES, NEGATIVES, LONGEST = 4000, 32, 16, 7
+SAMPLE, POSITIVES, NEGATIVES, LONGEST = 2500, 32, 16, 7
 WINDOW, STRIDE = 24, 12
 THRESHOLD, ROUNDS, HARD = 0.3, 3, 6000
 OUTER = ".,;:!?|\"'()[]{}<>«»¿¡-_*~"
@@ -239,7 +239,7 @@ class Machine:
             margin = {u: float(scores[i]) for u, i in row_of.items()}
         self.linear = (self.whiten @ self.weights[:-1]).astype(np.float32)
         self.offset = float(self.weights[-1])
-        self.link = _logistic(np.clip(self.margins(texts), -1.5, 1.5), np.array(labels, float))
+        self.link = _logistic(np.clip(self.margins(texts), 0, 1.5), np.array(labels, float))
 
     @staticmethod
     def _near(marks: list[str], u: str) -> tuple[np.ndarray, float]:
@@ -269,7 +269,7 @@ class Machine:
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.clip(self.margins(texts), -1.5, 1.5)
+        x = np.clip(self.margins(texts), 0, 1.5)
         return 1 / (1 + np.exp(-np.clip(x @ self.link[:-1] + self.link[-1], -50, 50)))
 
 
