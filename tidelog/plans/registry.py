@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tidelog.plans import recordings, surface
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+QUERIES = surface.QUERIES | recordings.QUERIES
+ORACLES = surface.ORACLES | recordings.ORACLES
+FLAGSHIP = recordings.QUERIES["rec_topic_counts"]
