@@ -40,13 +40,14 @@ THRESHOLD, ROUNDS, HARD = 0.3, 3, 6000
 OUTER = ".,;:!?|\"'()[]{}<>«»¿¡-_*~"
 
 
-SPACED = re.compile(rf"(?<!\S)\S(?:\s\S){{{LENGTH - 1},}}(?!\S)")
+SPACED = re.compile(rf"(?<!\w)\w(?:[^\w\s]?\s\w){{{LENGTH - 1},}}(?!\w)")
+APART = re.compile(r"\W+")
 
 
 def words_of(text: str) -> set[str]:
     """The distinct words of a text in lower case, and its runs of single characters, joined."""
     low = text.lower()
-    return set(low.split()).union("".join(run.split()) for run in SPACED.findall(low))
+    return set(low.split()).union(APART.sub("", run) for run in SPACED.findall(low))
 
 
 def units_of_word(word: str) -> list[str]:
