@@ -42,7 +42,7 @@ from tidelog.llm.common import id_text, map_steps, mix64
 from tidelog.llm.saved import Scratch
 from tidelog.llm.shingles import shingle_sets
 
-GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 3
+GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
 #: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
 SAMPLE, FREQUENT = 4000, 4
 #: A count of ``FULL`` means that many or more; it bounds nothing.
@@ -186,24 +186,24 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch], work: Callable[[list[tuple]], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Hands the rows of each cell (their first column, rows sorted by it) to ``work``."""
+    """Hands the rows of each cell (their first column, rows sorted by it) to ``work``, one for each class."""
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    cell, held, out = None, [], []
+    cell, held, out = None, {}, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != cell:
                 if len(held) > 1:
-                    out += work(held)
-                cell, held = row[0], []
+                    out += work([*held.values()])
+                cell, held = row[0], {}
                 if len(out) > 20_000:
                     yield packed(out)
                     out = []
-            held.append(row)
+            held[row[1]] = row
     if len(held) > 1:
-        out += work(held)
+        out += work([*held.values()])
     if out:
         yield packed(out)
 
@@ -215,7 +215,6 @@ def _mapped(df: DataFrame, work: Callable, percent: int) -> DataFrame:
 
 def _links_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
     """Of (cell, class, set): an edge from each linked class to the least one that it is connected with."""
-    rows = list({r[1]: r for r in rows}.values())
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets], np.int64)
     i, j, bound = bounded_pairs([point_of(s) for s in sets], sizes, percent)
@@ -236,7 +235,6 @@ def _links_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
 
 def _pairs_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
     """Of (cell, class, component, size, point): pairs of classes of different components."""
-    rows = list({r[1]: r for r in rows}.values())
     if len({r[2] for r in rows}) < 2:
         return []
     i, j, _ = bounded_pairs([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), percent)
@@ -295,8 +293,9 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "least": [s[:FIRST].view(np.int64) for s in sets], "prefix": [prefix_of(s, percent, *frequent.value).view(np.int64) for s in sets]}
 
     def with_sets(part: pa.RecordBatch) -> dict:
-        sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-        return {"class": [class_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+        sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), words)
+        own = [(cell, c, s.tobytes()) for s, c, cells in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist()) if class_id(s) == c for cell in cells]
+        return dict(zip(("cell", "class", "shingles"), zip(*own))) if own else {"cell": [], "class": [], "shingles": []}
 
     rows = scratch.save(map_steps(docs, featured, "doc_id long, class long, n long, point binary, least array<long>, prefix array<long>"))
     real = rows.filter("n > 0 AND doc_id IS NOT NULL")
@@ -304,9 +303,10 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     classes = scratch.save(real.join(first, ["class", "doc_id"]).dropDuplicates(["class"]))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """(class, shingles) of the classes ``wanted``, from the text of each one's least document."""
-        ids = classes.join(wanted, "class", "left_semi").select("doc_id").distinct()
-        return map_steps(docs.join(ids, "doc_id", "left_semi"), with_sets, "class long, shingles binary").dropDuplicates(["class"])
+        """(cell, class, shingles) of the rows (class, cell) of ``wanted``, from the text of each class's least
+        document: a text is shuffled once, and once more its set for each cell."""
+        cells = classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells")
+        return map_steps(docs.join(cells, "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, shingles binary")
 
     def in_parts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
         """The rows of cells of two classes or more, cells over ``CELL`` dealt into parts."""
@@ -315,10 +315,9 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     near = classes.select("class", F.explode("least").alias("key"))
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    near = scratch.save(in_parts(near, sizes).select("cell", "class"))
-    members = near.join(sets_of(near.select("class").distinct()), "class").select("cell", "class", "shingles")
+    members = sets_of(in_parts(near, sizes).select("class", "cell"))
     edges = scratch.save(_mapped(members.repartition("cell").sortWithinPartitions("cell"), _links_in_cell, percent).distinct())
-    scratch.drop(near)
+    scratch.tidy()
     joined = components(edges, scratch)
 
     named = classes.join(joined.select(F.col("u").alias("class"), F.col("v").alias("component")), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -329,11 +328,12 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     crossed = _crossed(held, percent).join(named.select("class", "component", "n", "point"), "class")
     open_pairs = _mapped(crossed.select("cell", "class", "component", "n", "point").repartition("cell").sortWithinPartitions("cell"), _pairs_in_cell, percent)
     pairs = scratch.save(open_pairs.distinct())
+    scratch.tidy()
     if pairs.isEmpty():
         every = joined
     else:
         ends = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-        sets = scratch.save(sets_of(ends))
+        sets = scratch.save(sets_of(ends.withColumn("cell", F.lit(0).cast("long"))).drop("cell").dropDuplicates(["class"]))
         left = sets.select(F.col("class").alias("u"), F.col("shingles").alias("x"))
         right = sets.select(F.col("class").alias("v"), F.col("shingles").alias("y"))
         more = _verified(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), percent)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ class Scratch:
         out._tidelog_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets the cluster delete shuffle files of plans that are done: it does so once the driver's JVM has
+        collected their handles, which by itself may come late."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:
