@@ -45,6 +45,8 @@ from tidelog.llm.shingles import shingle_sets
 GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
 #: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
 SAMPLE, FREQUENT = 4000, 4
+#: Classes of which the ids, at most some 60 bytes each, are broadcast to the documents' scan; more are joined by a shuffle.
+BROADCAST = 50_000
 #: A count of ``FULL`` means that many or more; it bounds nothing.
 FULL, UNBOUND, FINEST = 15, 1 << 20, 256
 
@@ -304,8 +306,10 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cell, class, shingles) of the rows (class, cell) of ``wanted``, from the text of each class's least
-        document: a text is shuffled once, and once more its set for each cell."""
-        cells = classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells")
+        document: a text is shuffled once at most, and its set once for each cell."""
+        cells = scratch.save(classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells"))
+        if cells.count() <= BROADCAST:
+            cells = F.broadcast(cells)
         return map_steps(docs.join(cells, "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, shingles binary")
 
     def in_parts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -317,7 +321,6 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     members = sets_of(in_parts(near, sizes).select("class", "cell"))
     edges = scratch.save(_mapped(members.repartition("cell").sortWithinPartitions("cell"), _links_in_cell, percent).distinct())
-    scratch.tidy()
     joined = components(edges, scratch)
 
     named = classes.join(joined.select(F.col("u").alias("class"), F.col("v").alias("component")), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -328,7 +331,6 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     crossed = _crossed(held, percent).join(named.select("class", "component", "n", "point"), "class")
     open_pairs = _mapped(crossed.select("cell", "class", "component", "n", "point").repartition("cell").sortWithinPartitions("cell"), _pairs_in_cell, percent)
     pairs = scratch.save(open_pairs.distinct())
-    scratch.tidy()
     if pairs.isEmpty():
         every = joined
     else:

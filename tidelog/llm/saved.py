@@ -32,6 +32,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidelog_path = path
+        self.tidy()
         return out
 
     def tidy(self) -> None:
