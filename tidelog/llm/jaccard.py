@@ -48,12 +48,12 @@ SAMPLE, FREQUENT = 4000, 4
 #: Classes of which the ids, at most some 60 bytes each, are broadcast to the documents' scan; more are joined by a shuffle.
 BROADCAST = 50_000
 #: A count of ``FULL`` means that many or more; it bounds nothing.
-FULL, UNBOUND, FINEST = 15, 1 << 20, 256
+FULL, UNBOUND, FINEST, PAIR_FINEST = 15, 1 << 20, 256, 1 << 14
 
 
-def point_of(shingles: np.ndarray) -> bytes:
+def point_of(shingles: np.ndarray, finest: int = FINEST) -> bytes:
     """Group counts, two in a byte; the number of groups is the power of two from the set's size."""
-    groups = min(FINEST, max(GROUPS, 1 << int(max(1, len(shingles)) - 1).bit_length()))
+    groups = min(finest, max(GROUPS, 1 << int(max(1, len(shingles)) - 1).bit_length()))
     counts = np.minimum(np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
     return (counts[::2] | counts[1::2] << np.uint8(4)).tobytes()
 
@@ -296,8 +296,8 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     def with_sets(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), words)
-        own = [(cell, c, s.tobytes()) for s, c, cells in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist()) if class_id(s) == c for cell in cells]
-        return dict(zip(("cell", "class", "shingles"), zip(*own))) if own else {"cell": [], "class": [], "shingles": []}
+        own = [(cell, c, len(s), point_of(s, PAIR_FINEST), s.tobytes()) for s, c, cells in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist()) if class_id(s) == c for cell in cells]
+        return dict(zip(names := ("cell", "class", "n", "point", "shingles"), zip(*own) if own else [[]] * len(names)))
 
     rows = scratch.save(map_steps(docs, featured, "doc_id long, class long, n long, point binary, least array<long>, prefix array<long>"))
     real = rows.filter("n > 0 AND doc_id IS NOT NULL")
@@ -310,7 +310,7 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         cells = scratch.save(classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells"))
         if cells.count() <= BROADCAST:
             cells = F.broadcast(cells)
-        return map_steps(docs.join(cells, "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, shingles binary")
+        return map_steps(docs.join(cells, "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, n long, point binary, shingles binary")
 
     def in_parts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
         """The rows of cells of two classes or more, cells over ``CELL`` dealt into parts."""
@@ -319,7 +319,7 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     near = classes.select("class", F.explode("least").alias("key"))
     sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    members = sets_of(in_parts(near, sizes).select("class", "cell"))
+    members = sets_of(in_parts(near, sizes).select("class", "cell")).select("cell", "class", "shingles")
     edges = scratch.save(_mapped(members.repartition("cell").sortWithinPartitions("cell"), _links_in_cell, percent).distinct())
     joined = components(edges, scratch)
 
@@ -336,9 +336,8 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     else:
         ends = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
         sets = scratch.save(sets_of(ends.withColumn("cell", F.lit(0).cast("long"))).drop("cell").dropDuplicates(["class"]))
-        left = sets.select(F.col("class").alias("u"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("class").alias("v"), F.col("shingles").alias("y"))
-        more = _verified(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), percent)
+        near = scratch.save(_tested(_with_ends(pairs, sets, "point"), _bounded, percent))  # points are a sixteenth of sets
+        more = _tested(_with_ends(near, sets, "shingles"), _linked, percent)
         more = scratch.save(more)
         scratch.drop(sets)
         every = components(edges.union(more), scratch) if not more.isEmpty() else joined
@@ -362,11 +361,27 @@ def _crossed(held: DataFrame, percent: int) -> DataFrame:
     return dealt.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class")
 
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+def _with_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    left = sets.select(F.col("class").alias("u"), F.col("n").alias("a"), F.col(column).alias("x"))
+    right = sets.select(F.col("class").alias("v"), F.col("n").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "x", "y")
+
+
+def _bounded(a: int, b: int, x: bytes, y: bytes, percent: int) -> bool:
+    one, other = counts_of(x), counts_of(y)
+    groups = min(len(one), len(other))
+    return int(np.minimum(folded(one, groups), folded(other, groups)).sum()) * (100 + percent) >= percent * (a + b)
+
+
+def _linked(a: int, b: int, x: bytes, y: bytes, percent: int) -> bool:
+    return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+
+
+def _tested(pairs: DataFrame, test: Callable, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, x, y = (c.to_pylist() for c in batch.columns)
-            ok = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(x, y)]
+            u, v, *ends = (c.to_pylist() for c in batch.columns)
+            ok = [test(*e, percent) for e in zip(*ends)]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, k in zip(c, ok) if k], pa.int64()) for c in (u, v)], names=["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long")
