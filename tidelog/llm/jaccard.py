@@ -45,8 +45,6 @@ from tidelog.llm.shingles import shingle_sets
 GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
 #: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
 SAMPLE, FREQUENT = 4000, 4
-#: Classes of which the ids, at most some 60 bytes each, are broadcast to the documents' scan; more are joined by a shuffle.
-BROADCAST = 50_000
 #: A count of ``FULL`` means that many or more; it bounds nothing.
 FULL, UNBOUND, FINEST, PAIR_FINEST = 15, 1 << 20, 256, 1 << 14
 
@@ -308,8 +306,6 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         """(cell, class, shingles) of the rows (class, cell) of ``wanted``, from the text of each class's least
         document: a text is shuffled once at most, and its set once for each cell."""
         cells = scratch.save(classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells"))
-        if cells.count() <= BROADCAST:
-            cells = F.broadcast(cells)
         return map_steps(docs.join(cells, "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, n long, point binary, shingles binary")
 
     def in_parts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
