@@ -11,7 +11,7 @@ set size among the sides, until ``LEAF`` points are left); pairs of its nodes ar
 reaches the overlap that the threshold needs, and the pairs of points that survive are verified on the sets.
 
 The cells. Linked sets must share one of the first ``n - ceil(t n) + 1`` shingles of each in any order that is the same for
-all; shingles that are frequent in a bounded sample come last in this order. So the tree is laid out over cells, one
+all: the order by count, over all documents, of a shingle's bucket among ``BUCKETS``, so that frequent ones come last. So the tree is laid out over cells, one
 for each such shingle, and no pair is missed:
 
 1. Each class goes with its set to the cells of its ``FIRST`` least shingles, which near copies are likely to share. A cell over ``CELL`` classes is
@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import id_text, map_steps, mix64
+from tidelog.llm.common import id_text, map_steps, mix64, steps
 from tidelog.llm.saved import Scratch
 from tidelog.llm.shingles import shingle_sets
 
 GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
-#: Documents of the sample from which frequent shingles are taken, and how many of them hold such a one.
-SAMPLE, FREQUENT = 4000, 4
+#: Buckets of shingles whose documents are counted, and buckets in a block; the counts take some 4 MB whatever the input.
+BUCKETS, BLOCK = 1 << 20, 1 << 12
 #: A count of ``FULL`` means that many or more; it bounds nothing.
 FULL, UNBOUND, FINEST, PAIR_FINEST = 15, 1 << 20, 256, 1 << 14
 
@@ -103,17 +103,15 @@ def class_id(shingles: np.ndarray) -> int:
     return int(mix64(np.array([a & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
 
 
-def prefix_of(shingles: np.ndarray, percent: int, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones first; ``frequent`` is sorted, ``ranks`` their order."""
+def prefix_of(shingles: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, by their bucket's count and then by value."""
     n = len(shingles)
     size = n - -(-percent * n // 100) + 1 if n else 0
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        often = frequent[at] == shingles
-        if often.any():
-            common, order = shingles[often], ranks[at[often]]
-            shingles = np.concatenate([shingles[~often], common[np.argsort(order, kind="stable")]])
-    return shingles[:size]
+    return shingles[np.argsort(counts[_buckets(shingles)], kind="stable")[:size]]
+
+
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 class CountTree:
@@ -262,23 +260,29 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edges
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles held by ``FREQUENT`` of ``SAMPLE`` documents (those of lowest id hash), sorted, and their
-    order by frequency. At most the sample's shingles / ``FREQUENT``."""
-    chosen = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(chosen), "doc_id")
+def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many documents hold the shingles of each bucket, over all documents. A task sends its counts in
+    blocks, a byte a bucket where that is enough; they are added as they stream by."""
 
-    def work(part: pa.RecordBatch) -> dict:
-        sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-        return {"shingle": np.concatenate(sets).view(np.int64)}
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for part in steps(batches):
+            sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), words)
+            counts += np.bincount(_buckets(np.concatenate(sets)), minlength=BUCKETS)
+        blocks = [c.astype(np.uint8 if c.max() < 256 else np.int64).tobytes() for c in counts.reshape(-1, BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.int64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["block", "counts"])
 
-    rows = map_steps(sample, work, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT).toPandas()
-    values, counts = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
-    by_value = np.argsort(values)
-    values, counts = values[by_value], counts[by_value]
-    ranks = np.empty(len(values), np.int64)
-    ranks[np.lexsort((values, counts))] = np.arange(len(values))
-    return values, ranks
+    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
+    for r in docs.select("text").mapInArrow(tallied, "block int, counts binary").repartition("block").mapInArrow(added, "block int, counts binary").collect():
+        out[r.block] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(out.reshape(-1), (1 << 31) - 1).astype(np.int32)
 
 
 def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,11 +290,11 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = id_text(df, id_col, text_col)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
+    counts = spark.sparkContext.broadcast(bucket_counts(docs, words))
 
     def featured(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "least": [s[:FIRST].view(np.int64) for s in sets], "prefix": [prefix_of(s, percent, *frequent.value).view(np.int64) for s in sets]}
+        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "least": [s[:FIRST].view(np.int64) for s in sets], "prefix": [prefix_of(s, percent, counts.value).view(np.int64) for s in sets]}
 
     def with_sets(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), words)
