@@ -308,9 +308,10 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cell, class, shingles) of the rows (class, cell) of ``wanted``, from the text of each class's least
-        document: a text is shuffled once at most, and its set once for each cell."""
+        document: a text is shuffled once, and its set once for each cell. The ids grow with the input, so they
+        are joined by the same shuffle at every size."""
         cells = scratch.save(classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells"))
-        return map_steps(docs.join(cells, "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, n long, point binary, shingles binary")
+        return map_steps(docs.join(cells.hint("merge"), "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, n long, point binary, shingles binary")
 
     def in_parts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
         """The rows of cells of two classes or more, cells over ``CELL`` dealt into parts."""
