@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidelog.plans import recordings, surface
+from tidelog.plans import conversions, recordings, surface
 
-QUERIES = surface.QUERIES | recordings.QUERIES
-ORACLES = surface.ORACLES | recordings.ORACLES
+QUERIES = surface.QUERIES | recordings.QUERIES | conversions.QUERIES
+ORACLES = surface.ORACLES | recordings.ORACLES | conversions.ORACLES
 FLAGSHIP = recordings.QUERIES["rec_topic_counts"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.errors import UnsupportedEncoding
+from tidelog.functions import protobuf
 from tidelog.functions.codecs import Codec
 from tidelog.functions.definitions import Registry, spark_schema
 from tidelog.functions.names import table_name
@@ -19,7 +20,8 @@ from tidelog.sources.container import Channel, Message, Schema, Unpacker, pack
 ENVELOPE = "_log_time long, _publish_time long, _sequence long, _channel_id int, topic string, message_encoding string, schema_name string, schema_encoding string, schema_data binary, data binary"
 META = ["_log_time", "_publish_time", "_sequence", "_channel_id"]
 #: Message encodings and the codec that reads them.
-ENCODINGS = {"ros1": "packed", "ros1msg": "packed", "cdr": "cdr"}
+ENCODINGS = {"ros1": "packed", "ros1msg": "packed", "cdr": "cdr", "protobuf": "protobuf"}
+SCHEMA_ENCODINGS = {"cdr": "ros2msg", "protobuf": "protobuf"}
 BATCH_ROWS, BATCH_BYTES = 4096, 64 << 20
 
 
@@ -56,18 +58,26 @@ def topics_of(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic").agg(F.min_by(F.struct("message_encoding", "schema_name", "schema_encoding", "schema_data"), F.struct("_log_time", "_sequence")).alias("s"), F.count(F.lit(1)).alias("messages")).select("topic", "s.*", "messages")
 
 
-def decode(messages: DataFrame, schema_name: str, schema_text: str, encoding: str, permissive: bool = False) -> DataFrame:
-    """Message fields behind the envelope's time columns. ``permissive`` keeps payloads that don't
-    decode as rows of nulls, with the error in ``_corrupt``."""
+def _compiled(schema_name: str, schema: str | bytes, encoding: str) -> tuple[T.StructType, Callable]:
+    """The columns of a type, and what makes its codec in a task. ``schema``: a definition's text, or a descriptor set."""
     if encoding not in ENCODINGS:
         raise UnsupportedEncoding(encoding)
-    registry = Registry.parse(schema_name, schema_text)
-    fields = spark_schema(schema_name, registry)
+    if encoding == "protobuf":
+        held = protobuf.Descriptors(schema if isinstance(schema, bytes) else schema.encode())
+        return protobuf.spark_schema(schema_name, held), lambda: protobuf.ProtoCodec(schema_name, held)
+    registry = Registry.parse(schema_name, schema.decode() if isinstance(schema, bytes) else schema)
+    return spark_schema(schema_name, registry), lambda: Codec(schema_name, registry, ENCODINGS[encoding])
+
+
+def decode(messages: DataFrame, schema_name: str, schema: str | bytes, encoding: str, permissive: bool = False) -> DataFrame:
+    """Message fields behind the envelope's time columns. ``permissive`` keeps payloads that don't
+    decode as rows of nulls, with the error in ``_corrupt``."""
+    fields, make = _compiled(schema_name, schema, encoding)
     out = T.StructType([*(messages.schema[c] for c in META), *fields.fields, *([T.StructField("_corrupt", T.StringType())] if permissive else [])])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(schema_name, registry, ENCODINGS[encoding])
+        codec = make()
         for batch in batches:
             payloads = batch.column(len(META)).to_pylist()
             errors: list = [None] * len(payloads)
@@ -96,7 +106,7 @@ def topic_frame(messages: DataFrame, topic: str, permissive: bool = False) -> Da
     head = topics_of(own).first()
     if head is None:
         raise UnsupportedEncoding(f"no messages of {topic}")
-    return decode(own, head.schema_name, bytes(head.schema_data).decode(), head.message_encoding, permissive)
+    return decode(own, head.schema_name, bytes(head.schema_data), head.message_encoding, permissive)
 
 
 def register_views(messages: DataFrame) -> list[str]:
@@ -110,25 +120,24 @@ def register_views(messages: DataFrame) -> list[str]:
     return sorted(out)
 
 
-def encode(df: DataFrame, schema_name: str, schema_text: str, encoding: str, log_time: str = "_log_time") -> DataFrame:
+def encode(df: DataFrame, schema_name: str, schema: str | bytes, encoding: str, log_time: str = "_log_time") -> DataFrame:
     """(_log_time, data): each row's payload."""
-    registry = Registry.parse(schema_name, schema_text)
-    names = [f.name for f in registry.get(schema_name).fields]
+    fields, make = _compiled(schema_name, schema, encoding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(schema_name, registry, ENCODINGS[encoding])
+        codec = make()
         for batch in batches:
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.encode(r) for r in rows], pa.binary())], names=["_log_time", "data"])
 
-    return df.select(F.col(log_time).alias("_log_time"), *(n for n in names)).mapInArrow(run, "_log_time long, data binary")
+    return df.select(F.col(log_time).alias("_log_time"), *(f"`{n}`" for n in fields.names)).mapInArrow(run, "_log_time long, data binary")
 
 
-def pack_files(messages: DataFrame, topics: dict[str, tuple[str, str, str]], files: int, compression: str = "zstd") -> DataFrame:
+def pack_files(messages: DataFrame, topics: dict[str, tuple[str, str | bytes, str]], files: int, compression: str = "zstd") -> DataFrame:
     """(path, content): ``files`` recordings of rows (topic, _log_time, data), each in order of time.
     ``topics``: topic -> (schema name, schema text, message encoding)."""
     names = sorted(topics)
-    schemas = [Schema(i + 1, topics[t][0], {"cdr": "ros2msg"}.get(topics[t][2], "ros1msg"), topics[t][1].encode()) for i, t in enumerate(names)]
+    schemas = [Schema(i + 1, topics[t][0], SCHEMA_ENCODINGS.get(topics[t][2], "ros1msg"), x if isinstance(x := topics[t][1], bytes) else x.encode()) for i, t in enumerate(names)]
     channels = [Channel(i, i + 1, t, topics[t][2]) for i, t in enumerate(names)]
     place = {t: i for i, t in enumerate(names)}
 
