@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,10 +57,20 @@ def map_steps(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str
         for part in steps(batches, column, limit):
             got = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(got[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives memory that is free in this worker's allocators back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent in other C libraries
+        if trim:
+            trim(0)
+
+
 def score_column(score: Callable[[list], np.ndarray], as_bytes: bool, limit: int = STEP_BYTES) -> Callable[[Column], Column]:
     """A vectorised function from a text column to a score; the row's other columns stay in the JVM."""
 
@@ -66,6 +78,7 @@ def score_column(score: Callable[[list], np.ndarray], as_bytes: bool, limit: int
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([pc.fill_null(texts, "")], names=["text"])
         parts = [score((x.column(0).cast(pa.binary()) if as_bytes else x.column(0)).to_pylist()) for x in steps(iter([batch]), "text", limit)]
+        release()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return scored

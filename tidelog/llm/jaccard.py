@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import id_text, map_steps, mix64, steps
+from tidelog.llm.common import id_text, map_steps, mix64, release, steps
 from tidelog.llm.saved import Scratch
 from tidelog.llm.shingles import shingle_sets
 
@@ -204,6 +204,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch], work: Callable[[list[tuple]], li
         out += work([*held.values()])
     if out:
         yield packed(out)
+    release()
 
 
 def _mapped(df: DataFrame, work: Callable, percent: int) -> DataFrame:
