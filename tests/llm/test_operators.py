@@ -252,3 +252,34 @@ def test_pipeline(spark):
         before = after
     last = corpus_pipeline.run(spark, sf)
     assert last.count() == before.count() and last.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def brute_kept(rows, percent, words):
+    """Ids that are the least of their component, all pairs tested."""
+    sets, root = {}, {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i], root[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)}, i
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    return {i for i in sets if root[i] == i}
+
+
+def test_near_duplicates_stage(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{r.randint(0, 900)}" for _ in range(200)]
+        rows.append((1000 * g, " ".join(base)))
+        for edits in range(1, 8):  # alone in its place: 4 edits link at 5 words and 0.8 only
+            w = list(base)
+            for k in range(edits):
+                w[10 + 25 * k + r.randint(0, 9)] = f"e{g}x{edits}x{k}"
+            rows.append((1000 * g + edits, " ".join(w)))
+    want = brute_kept(rows, 80, 5)
+    assert want != brute_kept(rows, 90, 3)
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, table(spark, rows), "").collect()} == want
