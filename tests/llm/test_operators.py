@@ -283,3 +283,19 @@ def test_near_duplicates_stage(spark):
     want = brute_kept(rows, 80, 5)
     assert want != brute_kept(rows, 90, 3)
     assert {x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, table(spark, rows), "").collect()} == want
+
+
+def test_fingerprints_of_long_near_copies():
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    for n in (200, 1000, 5000, 20000):
+        base = [r.choice(vocabulary) for _ in range(n)]
+        for edits, least in ((0.003, 0.85), (0.02, 0.7)):  # likeness 0.97 and 0.82 on sets of five words
+            w = list(base)
+            for k in r.sample(range(n), max(1, round(edits * n))):
+                w[k] = r.choice(vocabulary)
+            one, copy, other = fingerprint.fingerprints([" ".join(base), " ".join(w), " ".join(r.choice(vocabulary) for _ in range(n))])
+            a, b = ({tuple(x[k : k + 5]) for k in range(n - 4)} for x in (base, w))
+            dice = 2 * len(a & b) / (len(a) + len(b))
+            assert fingerprint.likeness(one, copy) == pytest.approx(dice, abs=0.15) and fingerprint.likeness(one, copy) > least
+            assert fingerprint.likeness(one, other) < 0.1
