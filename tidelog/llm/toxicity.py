@@ -1,53 +1,57 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two strings sums, over all common subsequences of ``LENGTH`` characters, the product of
-``DECAY`` to the power of their spans, normalised by the strings' own kernels: an insult with inserted
-characters or gaps keeps most of it. A text is cut into units: its words in lower case without outer
-punctuation, runs of single characters joined into one ("i d i o t"), and long words in overlapping
-windows. Landmarks are units that stand out in the labelled sample, and frequent clean ones. A unit's
-Nyström features are its kernels with the landmarks, whitened; a linear squared-hinge machine is trained
-on sentences: a sentence of a toxic text is represented by its likeliest unit, chosen anew in each
-round, and sentences that the machine doesn't find toxic drop out; sentences of clean texts are
-negative with all their units. A text's score is a logistic
-function, fitted on the sample, of its two highest margins, as far as they are positive.
-
-A kernel is 0 exactly if the longest common subsequence is shorter than ``LENGTH``; that length is
-computed first for all unit-landmark pairs by bit-parallel dynamic programming, and the kernel for the
-remaining pairs only. A unit without a remaining pair has the machine's offset as margin.
-
-Labels come only from rows whose crc32(doc_id as text) modulo 4 is not 2, of which at most ``SAMPLE``
-are used, lowest hash of the id first. A null text is an empty one, with the lowest margins. Without
-labels of both classes every score is 0. Repeated rows count each; an empty table gives an empty result.
+``DECAY`` to the power of their spans, normalised by the strings' own kernels, and is raised to ``POWER``:
+an insult with inserted characters or gaps keeps a share of it that clean words do not reach. Where the longest common subsequence is
+below ``NEED`` of the landmark's length (or below ``LENGTH``) the kernel counts as 0; that length is computed first for all pairs
+of unit and landmark by bit-parallel dynamic programming, and the kernel for the remaining pairs only.
+
+A text is cut into units: its words in lower case without outer punctuation, runs of single characters joined into
+one ("i d i o t"), neighbouring words that together are a landmark ("wor thless"), and words over ``WINDOW``
+characters in overlapping windows of that length. Words under ``LENGTH`` characters have no kernel of their own.
+
+Training, on a sample of labelled texts (at most ``TOXIC`` and ``CLEAN`` rows of the two classes within ``samples.SAMPLE_CHARS``, the
+sample's only bounds): a unit is evidence if toxic texts hold it significantly more often than clean ones (a likelihood ratio over ``EVIDENCE``),
+where a repetition in the same neighbourhood counts once, so copies of one text prove nothing. Landmarks are chosen by
+pivoted Cholesky among the evidence and the clean units that resemble it, until nothing is left to explain or there
+are ``LANDMARKS``, the rank of the Nyström map. A squared-hinge machine is trained on the whitened
+features: evidence positive, each weighted by its occurrences; all units of clean texts negative. A text's score is a logistic function,
+fitted on the sample and weighted back to the classes' shares, of its two highest margins.
+
+Labels come only from rows whose crc32(doc_id as text) modulo 4 is not 2. A null text is an empty one, with the lowest
+margins. Without labels of both classes every score is 0. Repeated rows count each; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import samples
 from tidelog.llm.common import crc_mod, id_text, score_column
-from tidelog.llm.quality import labelled
 
-LENGTH, DECAY = 4, 0.6
-SAMPLE, POSITIVES, NEGATIVES, LONGEST = 2500, 32, 16, 7
+LENGTH, DECAY, POWER, NEED = 4, 0.6, 2, 0.7
+TOXIC, CLEAN, LANDMARKS, EVIDENCE = 1500, 3500, 256, 15.0
 WINDOW, STRIDE = 24, 12
-THRESHOLD, ROUNDS, HARD = 0.3, 3, 6000
+THRESHOLD, NONE = 0.3, -1.5
 OUTER = ".,;:!?|\"'()[]{}<>«»¿¡-_*~"
-
+#: Units whose margins a worker remembers before it starts anew; it changes no result.
+MEMO = 200_000
 
 SPACED = re.compile(rf"(?<!\w)\w(?:[^\w\s]?\s\w){{{LENGTH - 1},}}(?!\w)")
 APART = re.compile(r"\W+")
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct words of a text in lower case, and its runs of single characters, joined."""
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, in order, and behind them its runs of single characters, joined."""
     low = text.lower()
-    return set(low.split()).union(APART.sub("", run) for run in SPACED.findall(low))
+    return low.split() + [APART.sub("", run) for run in SPACED.findall(low)]
 
 
 def units_of_word(word: str) -> list[str]:
@@ -59,10 +63,7 @@ def units_of_word(word: str) -> list[str]:
 
 
 def units_of(text: str) -> set[str]:
-    return {u for w in words_of(text) for u in units_of_word(w)}
-
-
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+    return {u for w in set(words_of(text)) for u in units_of_word(w)}
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -88,63 +89,67 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(words: np.ndarray, packs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Whether the longest common subsequence of each word with each landmark has ``LENGTH``; a pack holds
-    the masks of up to eight landmarks, 8 bits each, of which the top one stops carries."""
-    out = []
-    for masks, parts, lanes in packs:
-        lane = np.uint64(lanes)
-        v = np.full(len(words), lane, np.uint64)
-        for k in range(words.shape[1]):
-            met = masks[words[:, k]]
-            both = v & met
-            v = ((v + both) | (v & ~met)) & lane
-        out.extend(np.bitwise_count(~v & part) >= LENGTH for part in parts)
-    return np.stack(out, axis=1)
-
-
 class Kernels:
-    """Normalised kernels with a fixed list of landmarks, of which the first ``leading`` ones decide
-    whether a word is looked at."""
+    """Normalised kernels with a fixed list of landmarks."""
 
-    def __init__(self, landmarks: list[str], leading: int):
-        self.landmarks, self.leading = landmarks, leading
-        self.codes = _codes(landmarks, LONGEST)
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
+        self.sizes = np.array([len(w) for w in landmarks], np.int64)
+        self.needs = np.maximum(LENGTH, np.ceil(NEED * self.sizes - 1e-9)).astype(np.int64)
+        self.codes = _codes(landmarks, WINDOW)
         self.own = np.sqrt(_kernel(self.codes, self.codes))
-        self.packs, self.rest = self._packs(0, leading), self._packs(leading, len(landmarks))
-
-    def _packs(self, start: int, stop: int) -> list[tuple[np.ndarray, list, int]]:
-        out = []
-        for at in range(start, stop, 8):
-            masks, parts, lanes = np.zeros(256, np.uint64), [], 0
-            for k, word in enumerate(self.codes[at : min(at + 8, stop)]):
-                size = int((word > 0).sum())
-                for i in range(size):
-                    masks[word[i]] |= np.uint64(1 << 8 * k + i)
-                parts.append(np.uint64((1 << size) - 1 << 8 * k))
-                lanes |= (1 << size) - 1 << 8 * k
-            out.append((masks, parts, lanes))
-        return out
+        self.packs = self._packs()
+
+    def _packs(self) -> list[tuple[np.ndarray, np.uint64, list[tuple[int, np.uint64]]]]:
+        """Masks of as many landmarks as fit into 64 bits, a lane each with a bit more that stops carries."""
+        out: list = []
+        at, masks, lanes, parts = 0, np.zeros(256, np.uint64), 0, []
+        for k, word in enumerate(self.codes):
+            size = int(self.sizes[k])
+            if at + size + 1 > 64:
+                out.append((masks, np.uint64(lanes), parts))
+                at, masks, lanes, parts = 0, np.zeros(256, np.uint64), 0, []
+            for i in range(size):
+                masks[word[i]] |= np.uint64(1 << at + i)
+            lane = ((1 << size) - 1) << at
+            lanes |= lane
+            parts.append((k, np.uint64(lane)))
+            at += size + 1
+        return out + ([(masks, np.uint64(lanes), parts)] if parts else [])
+
+    def _near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (word, landmark) whose longest common subsequence is as long as the landmark needs."""
+        places, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        columns = np.ascontiguousarray(words.T)
+        for masks, lane, parts in self.packs:
+            v = np.full(len(words), lane, np.uint64)
+            for column in columns:
+                met = masks[column]
+                both = v & met
+                v = ((v + both) | (v & ~met)) & lane
+            v = ~v
+            for k, part in parts:
+                found = np.flatnonzero(np.bitwise_count(v & part) >= self.needs[k])
+                places.append(found)
+                marks.append(np.full(len(found), k, np.int64))
+        return np.concatenate(places), np.concatenate(marks)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of words with a kernel with any leading landmark, and their kernels with all landmarks."""
+        """Places of words with a kernel with any landmark, and their kernels with all landmarks."""
         sizes = np.array([len(w) for w in words], np.int64)
         places, rows = [np.zeros(0, np.int64)], [np.zeros((0, len(self.landmarks)), np.float32)]
-        for low, width in ((0, 6), (6, 9), (9, 13), (13, 18), (18, 1 << 30)):
+        for low, width in ((LENGTH - 1, 6), (6, 9), (9, 13), (13, 18), (18, WINDOW)):
             own = np.flatnonzero((sizes > low) & (sizes <= width))
             if not len(own):
                 continue
-            codes = _codes([words[i] for i in own], min(width, WINDOW))
-            some = _common(codes, self.packs)
-            kept = np.flatnonzero(some.any(axis=1))
+            codes = _codes([words[i] for i in own], width)
+            word, mark = self._near(codes)
+            kept, word = np.unique(word, return_inverse=True)
             if not len(kept):
                 continue
-            codes, some = codes[kept], some[kept]
-            if self.rest:
-                some = np.hstack([some, _common(codes, self.rest)])
-            word, mark = np.nonzero(some)
+            codes, wide = codes[kept], int(self.sizes[mark].max())
             table = np.zeros((len(codes), len(self.landmarks)), np.float32)
-            table[word, mark] = _kernel(codes[word], self.codes[mark]) / (np.sqrt(_kernel(codes, codes))[word] * self.own[mark])
+            table[word, mark] = (_kernel(codes[word], self.codes[mark, :wide]) / (np.sqrt(_kernel(codes, codes))[word] * self.own[mark])) ** POWER
             places.append(own[kept])
             rows.append(table)
         return np.concatenate(places), np.concatenate(rows)
@@ -169,117 +174,196 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(100):  # steps of bounded length, for classes that a line parts
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
         w -= step * min(1.0, 1 / max(1e-9, float(np.abs(step).max())))
     return w
 
 
+def _pivots(square: np.ndarray, most: int, least: float = 0.02) -> list[int]:
+    """Places of landmarks by pivoted Cholesky: each time the one that the ones before explain least."""
+    rest, rows, out = square.diagonal().astype(np.float64).copy(), np.zeros((0, len(square))), []
+    while len(out) < min(most, len(square)):
+        k = int(np.argmax(rest))
+        if rest[k] < least:
+            break
+        row = (square[k] - (rows[:, k] @ rows if len(rows) else 0)) / np.sqrt(rest[k])
+        rows, rest = np.vstack([rows, row]), np.maximum(rest - row**2, 0)
+        rest[k] = 0
+        out.append(k)
+    return out
+
+
+class Evidence:
+    """Units of a sample with their occurrences in toxic and clean texts, one for each word that they follow."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        names: dict[str, int] = {}
+        self.units: list[str] = []
+        units_by_word: dict[int, list[int]] = {}
+        place: dict[str, int] = {}
+        pairs: tuple[list, list] = ([], [])
+        held: tuple[list, list] = ([], [])
+        for text, y in zip(texts, labels):
+            words = words_of(text)
+            ids = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
+            fresh = [(w, i) for w, i in zip(words, ids.tolist()) if i not in units_by_word]
+            for w, i in fresh:
+                if i not in units_by_word:
+                    units_by_word[i] = [place.setdefault(u, len(place)) for u in units_of_word(w)]
+            before = np.concatenate([[-1], ids[:-1]])
+            pairs[y].append(np.unique(ids << 32 | before + 1))
+            held[y].append(np.unique(ids))
+        self.units = [*place]
+        words_n = len(names)
+        both = lambda lists: np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        contexts = [np.bincount(np.unique(both(p)) >> 32, minlength=words_n) for p in pairs]
+        texts_n = [np.bincount(both(h), minlength=words_n) for h in held]
+        self.counts = np.zeros((2, len(self.units)))
+        for y in (0, 1):
+            seen = np.minimum(contexts[y], texts_n[y])
+            for i, n in enumerate(seen.tolist()):
+                for u in units_by_word[i]:
+                    self.counts[y, u] += n
+
+    def significant(self) -> np.ndarray:
+        """Places of units that toxic texts hold more often than chance explains."""
+        clean, toxic = self.counts
+        total = clean + toxic
+        share = toxic.sum() / max(1.0, total.sum())
+        part = np.where(total > 0, toxic / np.maximum(total, 1), 0)
+        term = lambda n, p, q: np.where(n > 0, n * np.log(np.maximum(p, 1e-12) / max(q, 1e-12)), 0)
+        ratio = 2 * (term(toxic, part, share) + term(clean, 1 - part, 1 - share))
+        return np.flatnonzero((part > max(0.5, share)) & (ratio > EVIDENCE))
+
+
+def _automaton(words: frozenset[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for word in words:
+        out.add_word(word, len(word))
+    out.make_automaton()
+    return out
+
+
 class Machine:
     """Landmarks, their weights and the logistic function of a text's margins."""
 
-    def __init__(self, texts: list[str], labels: list[int]):
-        toxic = [[u for s in SENTENCE.split(t) if (u := units_of(s))] for t, y in zip(texts, labels) if y]
-        clean = [units_of(t) for t, y in zip(texts, labels) if not y]
-        with_it, without = Counter(), Counter()
-        for sentences in toxic:
-            with_it.update(set().union(*sentences) if sentences else ())
-        for units in clean:
-            without.update(units)
-        odds = lambda u: float(np.log((with_it[u] + 0.1) / (len(toxic) + 0.2)) - np.log((without[u] + 0.1) / (len(clean) + 0.2)))
-        ranked = sorted((u for u, n in with_it.items() if n >= 2 and odds(u) > 1.5), key=lambda u: (-odds(u) * with_it[u], u))
-        marks: list[str] = []
-        for u in dict.fromkeys(r[:LONGEST] for r in ranked[:3000]):
-            if len(marks) >= POSITIVES:
-                break
-            if marks:
-                place, near = self._near(marks, u)
-                if near >= 0.5:
-                    continue
-            marks.append(u)
-        marks = marks or ["\x01" * LENGTH]
-        leading = len(marks)
-        frequent = sorted((u for u in without if with_it[u] <= without[u] and len(u) <= LONGEST), key=lambda u: (-without[u], u))
-        marks += [u for u in frequent if u not in marks][:NEGATIVES]
-        self.kernels = Kernels(marks, leading)
-        place, rows = Kernels(marks, len(marks)).of(marks)
-        square = rows[np.argsort(place)]
-        value, vector = np.linalg.eigh((square + square.T).astype(np.float64) / 2)
-        self.whiten = (vector / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-        place, rows = self.kernels.of(sorted(without))
-        toxic_units = sorted({u for sentences in toxic for s in sentences for u in s})
-        at, own = self.kernels.of(toxic_units)
-        row_of = {toxic_units[p]: i for i, p in enumerate(at.tolist())}
-        features, negatives = own @ self.whiten, rows @ self.whiten
-        order = np.argsort(-rows[:, :leading].max(axis=1, initial=0), kind="stable")
-        spread = order[HARD :: max(1, len(order) // HARD)]
-        negatives = np.vstack([negatives[order[:HARD]], negatives[spread], np.zeros((1, len(marks)))])
-        # at first a unit counts by its likeness to a landmark, if toxic texts hold it more often
-        margin = {u: float(own[i, :leading].max()) - 0.5 if odds(u) > 0 else -1.0 for u, i in row_of.items()}
-        self.weights = np.zeros(len(marks) + 1)
-        for _ in range(ROUNDS):
-            witness: Counter = Counter()
-            for sentences in toxic:
-                best = [max((u for u in s if u in row_of), key=lambda u: (margin[u], u), default=None) for s in sentences]
-                best = sorted({u for u in best if u}, key=lambda u: (-margin[u], u))
-                witness.update([u for u in best if margin[u] > 0])
-            if not witness:
-                break
-            named = sorted(witness)
-            x = np.vstack([features[[row_of[u] for u in named]], negatives])
-            y = np.concatenate([np.ones(len(named)), -np.ones(len(negatives))])
-            share = np.array([witness[u] for u in named], float)
-            weight = np.ones(len(negatives))
-            weight[-1] = len(negatives)  # the many units without any kernel
-            self.weights = _squared_hinge(x, y, np.concatenate([share / share.sum() * len(negatives), weight]))
-            scores = features @ self.weights[:-1] + self.weights[-1]
-            margin = {u: float(scores[i]) for u, i in row_of.items()}
-        self.linear = (self.whiten @ self.weights[:-1]).astype(np.float32)
-        self.offset = float(self.weights[-1])
-        self.link = _logistic(np.clip(self.margins(texts), 0, 1.5), np.array(labels, float))
-
-    @staticmethod
-    def _near(marks: list[str], u: str) -> tuple[np.ndarray, float]:
-        a = _codes([u] * len(marks), LONGEST)
-        b = _codes(marks, LONGEST)
-        k = _kernel(a, b) / np.sqrt(_kernel(a, a) * _kernel(b, b))
-        return k, float(k.max())
+    def __init__(self, texts: list[str], labels: list[int], prior: float | None = None):
+        found = Evidence(texts, labels)
+        positive = found.significant().tolist()
+        self.marks, self.split = [], None
+        self.memo: dict[str, float] = {}
+        if positive:
+            self._fit(found, positive)
+        y = np.array(labels, float)
+        share = y.mean()
+        prior = share if prior is None else prior
+        weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
+        self.link = _logistic(self.margins(texts), y, weight)
+        self.memo = {}
+
+    def _fit(self, found: Evidence, positive: list[int]) -> None:
+        insults = [found.units[i] for i in positive]
+        clean = [u for i, u in enumerate(found.units) if found.counts[0, i] > 0 and found.counts[0, i] >= found.counts[1, i]]
+        place, rows = Kernels(insults).of(clean)
+        near = sorted({clean[p] for p, r in zip(place.tolist(), rows) if r.max() >= 0.15})
+        pool = insults + near
+        at, rows = Kernels(pool).of(pool)
+        square = np.zeros((len(pool), len(pool)))
+        square[at] = rows
+        square = np.maximum(square, square.T)
+        np.fill_diagonal(square, 1.0)
+        # evidence first: its own pivots, then those of clean units that resemble it
+        first = _pivots(square[: len(insults), : len(insults)], LANDMARKS)
+        kin = square[len(insults) :][:, first].max(axis=1) if near else np.zeros(0)
+        closest = np.argsort(-kin, kind="stable")[: max(0, LANDMARKS - len(first))]
+        chosen = first + [len(insults) + int(k) for k in sorted(closest.tolist())]
+        self.marks = [pool[k] for k in chosen]
+        self.insults = frozenset(pool[k] for k in first)
+        self.kernels = Kernels(self.marks)
+        own = square[np.ix_(chosen, chosen)]
+        value, vector = np.linalg.eigh(own)
+        whiten = (vector / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+        _, negatives = self.kernels.of(clean)
+        at, positives = self.kernels.of(insults)
+        count = found.counts[1][positive][at]
+        x = np.vstack([positives @ whiten, negatives @ whiten, np.zeros((1, len(chosen)))])
+        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives) + 1)])
+        size = len(negatives) + 1.0
+        weight = np.concatenate([count / count.sum() * 2 * size, np.ones(len(negatives)), [size]])  # the last: the many units without any kernel
+        weights = _squared_hinge(x, y, weight)
+        self.linear = (whiten @ weights[:-1]).astype(np.float32)
+        self.offset = float(weights[-1])
+        self.split = _automaton(self.insults)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}, "split": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.split = _automaton(self.insults) if self.marks else None
+
+    def _joined(self, words: list[str]) -> list[str]:
+        """Landmarks that neighbouring words spell together, from the first one's start to the last one's end."""
+        stripped = [w.strip(OUTER) for w in words]
+        text = "".join(stripped)
+        out = []
+        bounds = None
+        for end, size in self.split.iter(text):
+            if bounds is None:
+                bounds = np.cumsum([0, *map(len, stripped)])
+            a, b = np.searchsorted(bounds, [end + 1 - size, end + 1])
+            if bounds[a] == end + 1 - size and bounds[b] == end + 1 and sum(map(bool, stripped[a:b])) > 1:
+                out.append(text[end + 1 - size : end + 1])
+        return out
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """The two highest word margins of each text, at least the offset."""
-        sets = [words_of(t) for t in texts]
+        """The two highest unit margins of each text, at least ``NONE`` and at most its negative."""
+        out = np.full((len(texts), 2), NONE)
+        if self.split is None:
+            return out
+        memo = self.memo
+        sets: list[list[str]] = []
+        for t in texts:
+            words = words_of(t)
+            sets.append([*dict.fromkeys(words), *self._joined(words)])
+        new = [w for w in set().union(*sets) if w not in memo] if sets else []
         owners: dict[str, list[str]] = {}
-        for word in set().union(*sets):
+        for word in new:
+            memo[word] = NONE
             for unit in units_of_word(word):
                 owners.setdefault(unit, []).append(word)
         units = list(owners)
         place, rows = self.kernels.of(units)
-        scores = rows @ self.linear + self.offset
-        found: dict[str, float] = {}
-        for i in np.flatnonzero(scores > self.offset).tolist():
-            for word in owners[units[place[i]]]:
-                found[word] = max(found.get(word, self.offset), float(scores[i]))
-        out = np.full((len(texts), 2), self.offset)
+        scores = np.clip(rows @ self.linear + self.offset, NONE, -NONE)
+        for i, score in zip(place.tolist(), scores.tolist()):
+            for word in owners[units[i]]:
+                memo[word] = max(memo[word], score)
         for i, words in enumerate(sets):
-            best = sorted((found[w] for w in words if w in found), reverse=True)[:2]
+            best = sorted((s for w in words if (s := memo[w]) > NONE), reverse=True)[:2]
             out[i, : len(best)] = best
+        if len(memo) > MEMO:
+            memo.clear()
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.clip(self.margins(texts), 0, 1.5)
-        return 1 / (1 + np.exp(-np.clip(x @ self.link[:-1] + self.link[-1], -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(texts) @ self.link[:-1] + self.link[-1], -50, 50)))
+
+
+def _trained(prior: float) -> Callable[[list[str], list[int]], Machine | None]:
+    return lambda texts, labels: Machine(texts, labels, prior) if len(set(labels)) == 2 else None
 
 
 def scorer(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Callable[[Column], Column]:
     """The function from a text to its score, by the machine trained on labelled texts of ``docs``."""
-    rows = labelled(docs, labels, label_col, 4, 2, SAMPLE)
-    machine = Machine([t.decode() for t, _ in rows], [y for _, y in rows]) if len({y for _, y in rows}) == 2 else None
-    machine = docs.sparkSession.sparkContext.broadcast(machine)
-    return score_column(lambda texts: np.zeros(len(texts)) if machine.value is None else machine.value.scores(texts), as_bytes=False, limit=8 << 20)
+    prior = labels.select(F.avg((F.col(label_col) > 0).cast("int")).alias("p")).first().p
+    sample = samples.labelled(docs, labels, label_col, 4, 2, {1: TOXIC, 0: CLEAN})
+    machine = docs.sparkSession.sparkContext.broadcast(samples.fitted(sample, _trained(min(0.9, max(0.001, prior or 0.0)))))
+    return score_column(lambda texts: np.zeros(len(texts)) if machine.value is None else machine.value.scores(texts), as_bytes=False, limit=2 << 20)
 
 
 def toxicity_table(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
