@@ -8,7 +8,8 @@ document's exact cosines with all of them are computed block by block, and its `
 vote, each weighted by a power of its similarity.
 
 Labels come only from rows whose crc32(doc_id as text) modulo 5 is not 0, of which at most ``SAMPLE``
-are used, lowest hash of the id first. A null text is an empty one. Without usable labels every score
+are used, lowest hash of the id first, within ``samples.SAMPLE_CHARS`` characters. One task fits the projection; texts and
+their term counts stay in it. A null text is an empty one. Without usable labels every score
 is 1; labels with nulls are not used; repeated rows count each; an empty table gives an empty result.
 """
 
@@ -21,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import samples
 from tidelog.llm.common import crc_mod, id_text, score_column
 
 SAMPLE, RANK, NEIGHBOURS, BUCKETS, BLOCK = 4000, 48, 15, 2048, 256
@@ -89,21 +91,15 @@ class Voter:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, apart: int, sample: int) -> list[tuple[bytes, int]]:
-    """At most ``sample`` labelled texts: the ids of lowest hash outside the held-out remainder."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    usable = usable.dropna().filter(crc_mod("doc_id", mod) != apart).dropDuplicates(["doc_id", "label"])
-    chosen = usable.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", "label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.encode("text", "UTF-8").alias("text"))
-    rows = rows.dropDuplicates(["doc_id", "label"]).collect()  # at most `sample` texts
-    return [(bytes(r.text), r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.label))]
+def _trained(texts: list[str], labels: list[int]) -> Voter:
+    return Voter([t.encode() for t in texts], labels)
 
 
 def scorer(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Callable[[Column], Column]:
     """The function from a text to its score, with the labelled vectors of ``docs``."""
-    rows = labelled(docs, labels, label_col, 5, 0, SAMPLE)
-    voter = docs.sparkSession.sparkContext.broadcast(Voter([t for t, _ in rows], [y for _, y in rows]) if rows else None)
-    return score_column(lambda texts: np.ones(len(texts)) if voter.value is None else voter.value.scores(texts), as_bytes=True)
+    sample = samples.labelled(docs, labels, label_col, 5, 0, {None: SAMPLE})
+    voter = docs.sparkSession.sparkContext.broadcast(samples.fitted(sample, _trained))
+    return score_column(lambda texts: np.ones(len(texts)) if voter.value is None else voter.value.scores(texts), as_bytes=True, limit=2 << 20)
 
 
 def quality_table(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
