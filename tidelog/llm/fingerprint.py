@@ -7,11 +7,11 @@ starts at each local maximum; its name is a hash of its items. Where a phrase st
 items to the left and one to the right only, so equal substrings have equal names inside, wherever they
 stand. Names of a level are parsed again for the next one.
 
-A fingerprint holds the smallest ``SKETCH`` distinct names of each level from the highest one with ``ENOUGH``
-phrases down to the one below ``FINE``; a text whose highest one is not above ``FINE`` has two levels. All phrases of the whole text
-take part. Likeness compares the highest level up to ``FINE`` that both hold, whose phrases (some 16 code points, about
-three words) do not grow with the text, so scattered edits cost the same share at every length: the Dice share of common names,
-estimated from the smallest names of both together (standard error up to about 0.1). Levels grow with the logarithm of the text's length.
+A fingerprint holds the smallest ``SKETCH`` distinct names of level ``LEAST`` and of each higher one with ``ENOUGH``
+phrases. All phrases of the whole text take part, and every text that isn't empty has a phrase at each level; where it has only one, that is the name of the
+whole text. Likeness is the Dice share of common names at level ``FINE``, whose phrases hold some 16 code points at every length of
+text, or at ``LEAST`` (some 6) if one of the two texts has fewer than ``ENOUGH`` phrases there; it is estimated from the smallest names of both together
+(standard error up to about 0.1). So scattered edits cost the same share at every length. Levels grow with the logarithm of the text's length.
 
 A null text is an empty one, whose fingerprint has no names; two empty texts are alike (1). The next
 document is the one with the next lower id, after the last the first; null ids come last, ties go by a
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import id_text, mix64
 
-SKETCH, ENOUGH, FINE = 48, 24, 3
+SKETCH, ENOUGH, LEAST, FINE = 48, 24, 2, 3
 #: Code points that one vectorised step takes at most, besides a single longer text.
 STEP_CHARS = 1 << 18
 LOWEST = -(1 << 63)
@@ -116,17 +116,16 @@ def fingerprints(texts: list[str]) -> list[str]:
     np.cumsum([len(t) for t in texts], out=starts[1:])
     names = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     levels = [(names, starts)]
-    while int(np.diff(levels[-1][1]).max(initial=0)) >= ENOUGH:
+    while len(levels) <= LEAST or int(np.diff(levels[-1][1]).max(initial=0)) >= ENOUGH:
         levels.append(_parsed(*levels[-1]))
     counts = np.stack([np.diff(s) for _, s in levels])
-    top = np.maximum((counts >= ENOUGH).sum(axis=0) - 1, 0)
+    top = np.maximum((counts >= ENOUGH).sum(axis=0) - 1, LEAST)
 
     def sketch(level: int, i: int) -> str:
         names, starts = levels[level]
-        own = names[starts[i] : starts[i + 1]]
-        return f"{level}:" + np.unique(own >> np.uint64(32) if level else own)[:SKETCH].astype(">u4").tobytes().hex()
+        return f"{level}:" + np.unique(names[starts[i] : starts[i + 1]] >> np.uint64(32))[:SKETCH].astype(">u4").tobytes().hex()
 
-    return ["|".join(sketch(k, i) for k in range(t, max(min(t, FINE) - 1, 0) - 1, -1)) for i, t in enumerate(top.tolist())]
+    return ["|".join(sketch(k, i) for k in range(t, LEAST - 1, -1)) for i, t in enumerate(top.tolist())]
 
 
 def _levels_of(fingerprint: str) -> dict[int, list[str]]:
@@ -142,10 +141,8 @@ def likeness(one: str, other: str) -> float:
     if one == other:
         return 1.0
     a, b = _levels_of(one), _levels_of(other)
-    common = [k for k in a.keys() & b.keys() if k <= FINE]
-    if not common:
-        return 0.0
-    x, y = set(a[max(common)]), set(b[max(common)])
+    level = FINE if FINE in a and FINE in b else LEAST
+    x, y = set(a[level]), set(b[level])
     whole = len(x) < SKETCH and len(y) < SKETCH
     least = sorted(x | y)[: None if whole else SKETCH]
     jaccard = sum(v in x and v in y for v in least) / max(1, len(least))
