@@ -14,15 +14,16 @@ The cells. Linked sets must share one of the first ``n - ceil(t n) + 1`` shingle
 all: the order by count, over all documents, of a shingle's bucket among ``BUCKETS``, so that frequent ones come last. So the tree is laid out over cells, one
 for each such shingle, and no pair is missed:
 
-1. Each class goes with its set to the cells of its ``FIRST`` least shingles, which near copies are likely to share. A cell over ``CELL`` classes is
-   dealt into parts by hash. In a part the tree's pairs are verified at once, and a pair whose classes are already
+1. Each class goes with its set to the cells of its ``FIRST`` least shingles, which near copies are likely to share. A cell over ``CELL`` classes
+   or ``HELD`` shingles is dealt into parts by hash. In a part the tree's pairs are verified at once, and a pair whose classes are already
    connected is skipped. The links' components are found by large-star and small-star rounds.
 2. All shingles of the prefixes make cells; those whose classes are all in one component by now are
    done. Of the others the tree gives all pairs across components, in cells over ``CELL`` classes for each pair of
    parts, within bands of set size. They are verified, and components are found again.
 
 So a group of near copies costs a few passes over its members, while links between different texts are all
-tested unless their ends are connected already; components are exact.
+tested unless their ends are connected already; components are exact. With ``count_links`` the first pass is left out and no pair is skipped, so every link between
+classes is verified (a number that is quadratic in groups of near copies) and each document's links are counted.
 
 A null text is an empty one; a set without shingles is linked with nothing. A null id is a document that
 is linked with nothing, without component. Rows of equal sets are one class, so repeated rows are linked. An empty table gives an
@@ -41,8 +42,11 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import id_text, map_steps, mix64, release, steps
 from tidelog.llm.saved import Scratch
 from tidelog.llm.shingles import shingle_sets
+from tidelog.llm.skew import looked_up
 
-GROUPS, LEAF, CELL, FIRST = 64, 16, 256, 2
+GROUPS, LEAF, CELL, FIRST = 64, 16, 512, 2
+#: Shingles of all classes of a part of a cell together, about, where sets are held.
+HELD = 1 << 19
 #: Buckets of shingles whose documents are counted, and buckets in a block; the counts take some 4 MB whatever the input.
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 #: A count of ``FULL`` means that many or more; it bounds nothing.
@@ -248,8 +252,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = looked_up(both, least, "u", "n", ["m"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.save(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
@@ -286,8 +290,9 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), (1 << 31) - 1).astype(np.int32)
 
 
-def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id that links reach) of every row."""
+def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach), root (a name of its component) and text_hash (xxhash64) of
+    every row; with ``count_links`` also n_links, how many other rows it links with."""
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = id_text(df, id_col, text_col)
@@ -295,35 +300,40 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
 
     def featured(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), words)
-        return {"doc_id": part.column(0), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "least": [s[:FIRST].view(np.int64) for s in sets], "prefix": [prefix_of(s, percent, counts.value).view(np.int64) for s in sets]}
+        return {"doc_id": part.column(0), "text_hash": part.column(2), "class": [class_id(s) for s in sets], "n": [len(s) for s in sets], "point": [point_of(s) for s in sets], "least": [s[:FIRST].view(np.int64) for s in sets], "prefix": [prefix_of(s, percent, counts.value).view(np.int64) for s in sets]}
 
     def with_sets(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), words)
         own = [(cell, c, len(s), point_of(s, PAIR_FINEST), s.tobytes()) for s, c, cells in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist()) if class_id(s) == c for cell in cells]
         return dict(zip(names := ("cell", "class", "n", "point", "shingles"), zip(*own) if own else [[]] * len(names)))
 
-    rows = scratch.save(map_steps(docs, featured, "doc_id long, class long, n long, point binary, least array<long>, prefix array<long>"))
+    rows = scratch.save(map_steps(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), featured, "doc_id long, text_hash long, class long, n long, point binary, least array<long>, prefix array<long>"))
     real = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    first = real.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first = real.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("held"))
     classes = scratch.save(real.join(first, ["class", "doc_id"]).dropDuplicates(["class"]))
 
+    made: list[DataFrame] = []
+
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cell, class, shingles) of the rows (class, cell) of ``wanted``, from the text of each class's least
         document: a text is shuffled once, and its set once for each cell. The ids grow with the input, so they
         are joined by the same shuffle at every size."""
-        cells = scratch.save(classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells"))
+        made.append(cells := scratch.save(classes.join(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")), "class").select("doc_id", "class", "cells")))
         return map_steps(docs.join(cells.hint("merge"), "doc_id").select("text", "class", "cells"), with_sets, "cell long, class long, n long, point binary, shingles binary")
 
     def in_parts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
-        """The rows of cells of two classes or more, cells over ``CELL`` dealt into parts."""
+        """The rows of cells of two classes or more, large cells dealt into parts."""
         both = cells.join(sizes.filter("size > 1"), "key")
-        return both.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("class", "key"), F.ceil(F.col("size") / CELL))))
+        return both.withColumn("cell", F.xxhash64("key", F.pmod(F.xxhash64("class", "key"), F.ceil(F.greatest(F.col("size") / CELL, F.col("all") / HELD)))))
 
-    near = classes.select("class", F.explode("least").alias("key"))
-    sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    members = sets_of(in_parts(near, sizes).select("class", "cell")).select("cell", "class", "shingles")
-    edges = scratch.save(_mapped(members.repartition("cell").sortWithinPartitions("cell"), _links_in_cell, percent).distinct())
-    joined = components(edges, scratch)
+    if count_links:
+        edges = joined = scratch.save(spark.createDataFrame([], "u long, v long"))
+    else:
+        near = classes.select("class", "n", F.explode("least").alias("key"))
+        sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"))
+        members = sets_of(in_parts(near, sizes).select("class", "cell")).select("cell", "class", "shingles")
+        edges = scratch.save(_mapped(members.repartition("cell").sortWithinPartitions("cell"), _links_in_cell, percent).distinct())
+        joined = components(edges, scratch)
 
     named = classes.join(joined.select(F.col("u").alias("class"), F.col("v").alias("component")), "class", "left").withColumn("component", F.coalesce("component", "class"))
     wide = named.select("class", "component", "n", F.explode("prefix").alias("key"))
@@ -333,22 +343,32 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
     crossed = _crossed(held, percent).join(named.select("class", "component", "n", "point"), "class")
     open_pairs = _mapped(crossed.select("cell", "class", "component", "n", "point").repartition("cell").sortWithinPartitions("cell"), _pairs_in_cell, percent)
     pairs = scratch.save(open_pairs.distinct())
-    if pairs.isEmpty():
-        every = joined
-    else:
+    more = None
+    if not pairs.isEmpty():
         ends = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
         sets = scratch.save(sets_of(ends.withColumn("cell", F.lit(0).cast("long"))).drop("cell").dropDuplicates(["class"]))
         near = scratch.save(_tested(_with_ends(pairs, sets, "point"), _bounded, percent))  # points are a sixteenth of sets
-        more = _tested(_with_ends(near, sets, "shingles"), _linked, percent)
-        more = scratch.save(more)
-        scratch.drop(sets)
-        every = components(edges.union(more), scratch) if not more.isEmpty() else joined
+        more = scratch.save(_tested(_with_ends(near, sets, "shingles"), _linked, percent))
+        scratch.drop(sets, near)
+        if not more.isEmpty():
+            joined = components(edges.union(more), scratch)
     scratch.drop(pairs)
 
-    lowest = classes.join(every.withColumnRenamed("u", "class"), "class", "left").select("class", "doc_id", F.coalesce("v", "class").alias("root"))
-    lowest = lowest.join(lowest.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("class", "component_id")
+    lowest = scratch.save(classes.join(joined.withColumnRenamed("u", "class"), "class", "left").select("class", "doc_id", "held", F.coalesce("v", "class").alias("root")))
+    roots = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    found = looked_up(lowest, roots, "root", "size", ["component_id"]).select("class", "component_id", "held", "root")
+    if count_links:
+        ways = (more if more is not None else edges).select("u", "v")
+        ends = ways.union(ways.select("v", "u")).join(lowest.select(F.col("class").alias("v"), "held"), "v").groupBy("u").agg(F.sum("held").alias("others"))
+        found = found.join(ends.withColumnRenamed("u", "class"), "class", "left").withColumn("n_links", F.col("held") - 1 + F.coalesce("others", F.lit(0)))
+    found = scratch.save(found)
+    scratch.drop(classes, edges, lowest, *made, *([joined] if joined is not edges else []), *([more] if more is not None else []))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n", "class").join(lowest, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = [F.col("n").alias("n_shingles"), component.alias("component_id")]
+    if count_links:
+        out.append(F.when(F.col("doc_id").isNull() | (F.col("n") == 0), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    own = rows.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("class")).alias("class"))
+    return looked_up(own, found, "class", "held", ["component_id", "root", *(["n_links"] if count_links else [])]).select("doc_id", *out, "root", "text_hash")
 
 
 def _crossed(held: DataFrame, percent: int) -> DataFrame:
