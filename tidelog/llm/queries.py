@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, chat, fingerprint, htmltext, jaccard, mixing, quality, telephony, toxicity, urls
-from tidelog.llm.common import table
+from tidelog.llm.common import spread, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The conversation that the chat query adds.
@@ -15,11 +15,11 @@ ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded_table(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.encoded_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extracted_table(table(spark, sf_dir, "pages"))
+    return htmltext.extracted_table(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_table(table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "mix.*")
+    return mixing.mixed_table(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).select(F.col("row.doc_id").alias("doc_id"), "mix.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined_table(table(spark, sf_dir, "documents"))
+    return jaccard.joined_table(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_fingerprints, op4_chat, op5_urls, op6_mixing, op7_quality, op8_toxicity, op9_telephony, op10_jaccard)}
