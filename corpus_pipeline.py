@@ -1,7 +1,7 @@
 """A training corpus from raw documents in five stages, each reading what the one before kept.
 
-A stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``. Rows with a null
-id take part in every stage but joins, which they pass.
+A stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``, and any others that ``docs`` has, whatever their
+names. Every stage gives an empty table for an empty one and reads texts whole.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from tidelog.llm.saved import Scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier predicts as toxic go."""
+    """Documents that the toxicity classifier predicts as toxic go. A null or empty text is not toxic; without labels of both classes all stay;
+    equal texts, repeated rows among them, go or stay alike; null ids and other nulls play no part."""
     score = toxicity.scorer(id_text(docs), table(spark, sf_dir, "labels"))
     return docs.filter(score("text") < toxicity.THRESHOLD)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as bad go."""
+    """Documents that the quality classifier predicts as bad go. A null text is judged as an empty one, which goes if its neighbours in the
+    sample are bad; without labels all stay; equal texts go or stay alike; null ids and other nulls play no part."""
     score = quality.scorer(id_text(docs), table(spark, sf_dir, "labels"))
     return docs.filter(score("text") >= quality.THRESHOLD)
 
@@ -34,20 +36,28 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays; of repeated rows of an id one."""
-    kept = jaccard.joined_table(docs, NEAR_PERCENT, NEAR_WORDS).filter("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*(F.xxhash64(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn")
-    return once.select(*(f"`{c}`" for c in docs.columns)).unionAll(docs.filter("doc_id IS NULL"))
+    """Of each group of linked documents one row stays: that of least id, of several texts of this id the one of least
+    hash, of several rows of this id and text one. Where an id has different texts, each counts with its own group. Texts without words are linked with nothing,
+    and only their repeated rows of one id are dropped. Rows with a null id pass."""
+    linked = jaccard.joined_table(docs, NEAR_PERCENT, NEAR_WORDS).filter("doc_id IS NOT NULL")
+    ends = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("end")
+    kept = linked.filter("n_shingles > 0").groupBy("root").agg(F.min(ends).alias("end")).select("end")
+    kept = kept.unionAll(linked.filter("n_shingles = 0").select(ends).distinct()).select("end.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("hash"))
+    order = Window.partitionBy("id", "hash").orderBy(F.xxhash64("row"))
+    once = rows.join(kept, ["id", "hash"], "left_semi").withColumn("turn", F.row_number().over(order)).filter("turn = 1")
+    return once.select("row.*").unionAll(docs.filter("doc_id IS NULL"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by the calibrated probabilities of the target weights."""
-    return mixing.mixed_table(docs).filter("mix.kept").select("row.*")
+    """A sample by the calibrated probabilities of the target weights. Null sources and languages count as ``other``; a document without tokens stays with its
+    cell's probability; rows of equal id and text are drawn alike."""
+    return mixing.mixed_table(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).filter("mix.kept").select("row.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left: their number and digests."""
+    """Number and digests of the ids of every document that is left; a null or empty text has none; null ids and repeated rows stay."""
     return bpe.encoded_table(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
