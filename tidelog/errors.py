@@ -9,6 +9,10 @@ class UnexpectedEnd(TidelogError):
     """A payload or file ends before a value does."""
 
 
+class CorruptFile(TidelogError):
+    """A chunk's check sum doesn't fit its records."""
+
+
 class InvalidDefinition(TidelogError):
     """A message definition can't be read."""
 
@@ -37,5 +41,9 @@ class TableNotFound(TidelogError):
     """A named table isn't there."""
 
 
+class NameClash(TidelogError):
+    """Columns would have one name."""
+
+
 class SqlRejected(TidelogError):
     """SQL that Spark would read with another meaning."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,4 +51,7 @@ def cell_text(value: object) -> str:
         return "t" if value else "f"
     if isinstance(value, (bytes, bytearray)):
         return "\\x" + bytes(value).hex() if len(value) <= 16 else f"<{len(value)} bytes>"
+    if isinstance(value, datetime):
+        since = value.replace(tzinfo=value.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)
+        return time_text((since.days * 86400 + since.seconds) * 1_000_000_000 + since.microseconds * 1000)
     return "{...}" if isinstance(value, (dict, list, tuple)) else str(value)

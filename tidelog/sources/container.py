@@ -1,18 +1,27 @@
-"""The MCAP container: records of opcode, length and body, chunked and compressed; by its public layout."""
+"""The MCAP container: records of opcode, length and body, chunked and compressed; by its public layout.
+
+Written files end with a summary: schemas, channels, an index of the chunks with their times, and statistics. A
+reader that has it reads ranges of chunks, others go through the records from the start.
+"""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 
-from tidelog.errors import UnsupportedFormat
+from tidelog.errors import CorruptFile, UnsupportedFormat
 
 MAGIC = b"\x89MCAP0\r\n"
-HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, DATA_END = 1, 2, 3, 4, 5, 6, 15
+HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, CHUNK_INDEX, STATISTICS, DATA_END = 1, 2, 3, 4, 5, 6, 8, 11, 15
+FOOTER_BYTES = 9 + 20 + len(MAGIC)
+HEAD = np.dtype([("channel", "<u2"), ("sequence", "<u4"), ("log", "<u8"), ("publish", "<u8")])
 
 
 @dataclass
@@ -50,64 +59,126 @@ def _record(opcode: int, body: bytes) -> bytes:
     return struct.pack("<BQ", opcode, len(body)) + body
 
 
+def _schema_record(s: Schema) -> bytes:
+    return _record(SCHEMA, struct.pack("<H", s.id) + _text(s.name) + _text(s.encoding) + struct.pack("<I", len(s.data)) + s.data)
+
+
+def _channel_record(c: Channel) -> bytes:
+    pairs = b"".join(_text(k) + _text(v) for k, v in c.metadata.items())
+    return _record(CHANNEL, struct.pack("<HH", c.id, c.schema_id) + _text(c.topic) + _text(c.message_encoding) + struct.pack("<I", len(pairs)) + pairs)
+
+
 def pack(schemas: Iterable[Schema], channels: Iterable[Channel], messages: Iterable[Message], compression: str = "zstd", chunk_bytes: int = 1 << 20) -> Iterator[bytes]:
     """The parts of a file, in order; messages go to chunks as they come."""
-    yield MAGIC + _record(HEADER, _text("") + _text("tidelog"))
-    for s in schemas:
-        yield _record(SCHEMA, struct.pack("<H", s.id) + _text(s.name) + _text(s.encoding) + struct.pack("<I", len(s.data)) + s.data)
-    for c in channels:
-        pairs = b"".join(_text(k) + _text(v) for k, v in c.metadata.items())
-        yield _record(CHANNEL, struct.pack("<HH", c.id, c.schema_id) + _text(c.topic) + _text(c.message_encoding) + struct.pack("<I", len(pairs)) + pairs)
-    held, low, high = bytearray(), 1 << 63, 0
+    schemas, channels = list(schemas), list(channels)
+    described = b"".join([*map(_schema_record, schemas), *map(_channel_record, channels)])
+    begin = MAGIC + _record(HEADER, _text("") + _text("tidelog")) + described
+    yield begin
+    place, index, counts, first, last = len(begin), [], Counter(), 1 << 64, 0
+    held, low, high = bytearray(), 1 << 64, 0
 
     def chunk() -> bytes:
+        nonlocal place
         body = bytes(held)
         small = zstandard.compress(body) if compression == "zstd" else pa.Codec("lz4").compress(body, asbytes=True) if compression == "lz4" else body
-        return _record(CHUNK, struct.pack("<QQQI", low, high, len(body), 0) + _text(compression) + struct.pack("<Q", len(small)) + small)
+        out = _record(CHUNK, struct.pack("<QQQI", low, high, len(body), zlib.crc32(body)) + _text(compression) + struct.pack("<Q", len(small)) + small)
+        index.append(_record(CHUNK_INDEX, struct.pack("<QQQQIQ", low, high, place, len(out), 0, 0) + _text(compression) + struct.pack("<QQ", len(small), len(body))))
+        place += len(out)
+        return out
 
     for m in messages:
         held += _record(MESSAGE, struct.pack("<HIQQ", m.channel_id, m.sequence, m.log_time, m.publish_time) + m.data)
         low, high = min(low, m.log_time), max(high, m.log_time)
+        first, last = min(first, m.log_time), max(last, m.log_time)
+        counts[m.channel_id] += 1
         if len(held) >= chunk_bytes:
             yield chunk()
-            held, low, high = bytearray(), 1 << 63, 0
+            held, low, high = bytearray(), 1 << 64, 0
     if held:
         yield chunk()
-    yield _record(DATA_END, struct.pack("<I", 0)) + _record(FOOTER, struct.pack("<QQI", 0, 0, 0)) + MAGIC
+    end = _record(DATA_END, struct.pack("<I", 0))
+    per_channel = b"".join(struct.pack("<HQ", c, n) for c, n in sorted(counts.items()))
+    statistics = struct.pack("<QHIIIIQQI", sum(counts.values()), len(schemas), len(channels), 0, 0, len(index), first if counts else 0, last, len(per_channel)) + per_channel
+    summary = described + b"".join(index) + _record(STATISTICS, statistics)
+    footer = struct.pack("<BQQQ", FOOTER, 20, place + len(end), 0)
+    yield end + summary + footer + struct.pack("<I", zlib.crc32(summary + footer)) + MAGIC
+
+
+@dataclass
+class Summary:
+    """What the end of a file tells: its schemas and channels, and (place, size, first, last time) of its chunks."""
+
+    schemas: dict[int, Schema]
+    channels: dict[int, Channel]
+    chunks: list[tuple[int, int, int, int]]
+
+
+def read_summary(size: int, read: Callable[[int, int], bytes]) -> Summary | None:
+    """The summary of a file of ``size`` bytes, of which ``read`` gives (place, length); None where there is none or it has no chunk index."""
+    if size < len(MAGIC) + FOOTER_BYTES:
+        return None
+    tail = read(size - FOOTER_BYTES, FOOTER_BYTES)
+    opcode, length, start = struct.unpack_from("<BQQ", tail)
+    if not tail.endswith(MAGIC) or opcode != FOOTER or length != 20 or not 0 < start < size:
+        return None
+    unpacker = Unpacker(MAGIC + read(start, size - FOOTER_BYTES - start))
+    unpacker.finish()
+    return Summary(unpacker.schemas, unpacker.channels, unpacker.chunks) if unpacker.chunks else None
 
 
 class Unpacker:
     """Reads the records of a file; ``schemas`` and ``channels`` fill up on the way. A file that breaks off ends
     where it does. ``since`` and ``until`` (log times, both included) pass over chunks wholly outside."""
 
-    def __init__(self, data: bytes, topics: set[str] | None = None, since: int = 0, until: int = 1 << 63):
-        self.data, self.topics, self.since, self.until = data, topics, since, until
-        self.schemas: dict[int, Schema] = {}
-        self.channels: dict[int, Channel] = {}
-        if data and data[: len(MAGIC)] != MAGIC:
+    def __init__(self, data: bytes, topics: set[str] | None = None, since: int = 0, until: int = 1 << 63, known: Summary | None = None):
+        self.topics, self.since, self.until = topics, since, until
+        self.schemas: dict[int, Schema] = dict(known.schemas) if known else {}
+        self.channels: dict[int, Channel] = dict(known.channels) if known else {}
+        self.chunks: list[tuple[int, int, int, int]] = []
+        if not known and data and data[: len(MAGIC)] != MAGIC:
             raise UnsupportedFormat("not an MCAP file")
+        self.data = memoryview(data)[0 if known else len(MAGIC) :]
 
     def messages(self) -> Iterator[Message]:
-        yield from self._walk(memoryview(self.data)[len(MAGIC) :])
-
-    def _walk(self, data: memoryview) -> Iterator[Message]:
-        at = 0
-        while at + 9 <= len(data):
-            opcode, size = struct.unpack_from("<BQ", data, at)
-            body, at = data[at + 9 : at + 9 + size], at + 9 + size
-            if at > len(data) or opcode == FOOTER:
-                return
+        for heads, payloads in self.blocks():
+            for channel, sequence, log, publish, data in zip(*(heads[n].tolist() for n in HEAD.names), payloads.to_pylist()):
+                yield Message(channel, sequence, log, publish, data)
+
+    def finish(self) -> None:
+        for _ in self.blocks():
+            pass
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        """Heads and payloads of the messages wanted, a chunk at a time."""
+        yield from self._walk(self.data)
+
+    def _walk(self, data: memoryview) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        at, size, starts, ends = 0, len(data), [], []
+        unpack = struct.Struct("<BQ").unpack_from
+        while at + 9 <= size:
+            opcode, length = unpack(data, at)
+            start, at = at + 9, at + 9 + length
+            if at > size or opcode == FOOTER:
+                break
             if opcode == MESSAGE:
-                channel, sequence, log, publish = struct.unpack_from("<HIQQ", body)
-                found = self.channels.get(channel)
-                if found and self.since <= log <= self.until and (self.topics is None or found.topic in self.topics):
-                    yield Message(channel, sequence, log, publish, bytes(body[22:]))
-            elif opcode == CHUNK:
-                low, high, plain = struct.unpack_from("<QQQ", body)
+                starts.append(start)
+                ends.append(at)
+                continue
+            body = data[start:at]
+            if opcode == CHUNK:
+                if starts:
+                    yield from self._block(data, starts, ends)
+                    starts, ends = [], []
+                low, high, plain, check = struct.unpack_from("<QQQI", body)
                 name, k = self._string(body, 28)
-                records = body[k + 8 :]
                 if high >= self.since and low <= self.until:
-                    yield from self._walk(memoryview(self._plain(name, records, plain)))
+                    records = self._plain(name, body[k + 8 :], plain)
+                    if check and zlib.crc32(records) != check:
+                        raise CorruptFile("a chunk's check sum differs")
+                    yield from self._walk(memoryview(records))
+            elif opcode == CHUNK_INDEX:
+                low, high, place, length = struct.unpack_from("<QQQQ", body)
+                self.chunks.append((place, length, low, high))
             elif opcode == SCHEMA:
                 (i,) = struct.unpack_from("<H", body)
                 name, k = self._string(body, 2)
@@ -117,12 +188,24 @@ class Unpacker:
                 i, schema = struct.unpack_from("<HH", body)
                 topic, k = self._string(body, 4)
                 encoding, k = self._string(body, k)
-                (size,) = struct.unpack_from("<I", body, k)
-                k, end, pairs = k + 4, k + 4 + size, {}
+                (length,) = struct.unpack_from("<I", body, k)
+                k, end, pairs = k + 4, k + 4 + length, {}
                 while k < end:
                     key, k = self._string(body, k)
                     pairs[key], k = self._string(body, k)
                 self.channels[i] = Channel(i, schema, topic, encoding, pairs)
+        if starts:
+            yield from self._block(data, starts, ends)
+
+    def _block(self, data: memoryview, starts: list[int], ends: list[int]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        raw = np.frombuffer(data, np.uint8)
+        start, end = np.array(starts, np.int64), np.array(ends, np.int64)
+        heads = raw[start[:, None] + np.arange(HEAD.itemsize)].view(HEAD).reshape(-1)
+        wanted = np.array([i for i, c in self.channels.items() if self.topics is None or c.topic in self.topics], np.int64)
+        kept = np.flatnonzero(np.isin(heads["channel"], wanted) & (heads["log"] >= self.since) & (heads["log"] <= self.until))
+        if len(kept):
+            payloads = [data[a:b] for a, b in zip((start[kept] + HEAD.itemsize).tolist(), end[kept].tolist())]
+            yield heads[kept], pa.array(payloads, pa.binary())
 
     @staticmethod
     def _string(body: memoryview, at: int) -> tuple[str, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,10 +15,13 @@ from tidelog.functions.names import table_name
 from tidelog.operators.evolution import compare_schemas, project
 from tidelog.operators.tables import TableStore
 from tidelog.sources import recording as R
+from tidelog.sources.shared import shared_folder
 
 #: Formats by extension. Those of ABSENT have no reader or writer here.
 EXTENSIONS = {".mcap": "mcap", ".parquet": "parquet", ".duckdb": "duckdb", ".db": "duckdb", ".tables": "tables", ".lance": "lance", ".vortex": "vortex"}
 ABSENT = {"lance", "vortex"}
+#: DuckDB's names of Spark's simple types.
+DUCKDB_TYPES = {"boolean": "BOOLEAN", "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "string": "VARCHAR", "binary": "BLOB", "date": "DATE", "timestamp": "TIMESTAMPTZ", "timestamp_ntz": "TIMESTAMP"}
 MODES = {"error", "overwrite", "append"}
 URI = re.compile(r"^[a-z][a-z0-9+.-]*://", re.I)
 
@@ -80,15 +84,13 @@ def read_duckdb(spark: SparkSession, path: str, batch_rows: int = 65536) -> dict
     """Tables of a DuckDB file. The library reads files of this machine only, so a table goes through
     the driver, a batch at a time, into a Parquet folder in ``spark.checkpoint.dir``, and is read from there."""
     import tempfile
-    import uuid
 
     import duckdb
     import pyarrow.parquet as pq
 
     if is_remote(path) or not os.path.exists(path.removeprefix("file://")):
         raise UnsupportedFormat(f"{path}: DuckDB files are read from this machine only")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    folder, out, jvm = f"{base.rstrip('/')}/duckdb-{uuid.uuid4().hex}", {}, spark._jvm
+    folder, out, jvm = f"{shared_folder(spark)}/duckdb-{uuid.uuid4().hex}", {}, spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     with duckdb.connect(path.removeprefix("file://"), read_only=True) as db, tempfile.TemporaryDirectory() as own:
         for (name,) in db.execute("SELECT table_name FROM information_schema.tables WHERE table_schema = 'main' ORDER BY 1").fetchall():
@@ -103,27 +105,32 @@ def read_duckdb(spark: SparkSession, path: str, batch_rows: int = 65536) -> dict
 
 
 def open_input(spark: SparkSession, paths: str | list[str], fmt: str | None = None, topics: list[str] | None = None) -> Input:
-    """Several paths are concatenated table by table, their schemas merged."""
+    """Several paths are concatenated table by table, their schemas merged; each is read in its own format. Recordings
+    are read in one pass, and bring the tables ``_channels`` and ``_schemas``."""
     paths = [paths] if isinstance(paths, str) else paths
-    fmt = fmt or detect_input(spark, paths[0])
-    if fmt in ABSENT:
-        raise UnsupportedFormat(f"{fmt}: no library for it here")
-    if fmt == "mcap":
-        messages = R.envelopes(R.read_files(spark, *paths), topics)
-        return Input({r.topic: R.topic_frame(messages, r.topic) for r in R.topics_of(messages).select("topic").orderBy("topic").collect()})  # a row a topic
+    formats = [fmt or detect_input(spark, p) for p in paths]
     held: dict[str, list[DataFrame]] = {}
-    for path in paths:
-        if fmt == "parquet":
+    recordings = [p for p, f in zip(paths, formats) if f == "mcap"]
+    if recordings:
+        found = R.topic_frames(R.recording(spark, *recordings, topics=topics))
+        held |= {t: [f] for t, f in found.items()}
+        held |= {n: [f] for n, f in R.metadata(R.read_files(spark, *recordings)).items()}
+    for path, kind in zip(paths, formats):
+        if kind == "mcap":
+            continue
+        if kind in ABSENT:
+            raise UnsupportedFormat(f"{kind}: no library for it here")
+        if kind == "parquet":
             names = _names(spark, path)
             own = [n for n in names or [] if n.endswith(".parquet")]
             found = {n.removesuffix(".parquet"): spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in own} if own and not any(n.startswith("part-") for n in own) else {os.path.basename(path.rstrip("/")).removesuffix(".parquet"): spark.read.parquet(path)}
-        elif fmt == "duckdb":
+        elif kind == "duckdb":
             found = read_duckdb(spark, path)
-        elif fmt == "tables":
+        elif kind == "tables":
             store = TableStore(spark, path)
             found = {n: store.read(n) for n in store.tables()}
         else:
-            raise UnsupportedFormat(fmt)
+            raise UnsupportedFormat(kind)
         for n, f in found.items():
             held.setdefault(n, []).append(f)
 
@@ -148,26 +155,64 @@ def write_duckdb(frames: dict[str, DataFrame], path: str, mode: str) -> None:
             raise TableExists(sorted(there & set(frames))[0])
         for name, df in frames.items():
             schema = to_arrow_schema(df.schema)
-            empty = pa.Table.from_batches([], schema)  # noqa: F841 - DuckDB finds it by name
             if mode == "overwrite" or name not in there:
-                db.execute(f'CREATE OR REPLACE TABLE "{name}" AS SELECT * FROM empty')
-            rows: list[dict] = []
+                db.execute(f'DROP TABLE IF EXISTS "{name}"')
+                db.execute(create_table_text(name, df.schema))
+            columns = ", ".join(f'"{c}"' for c in df.columns)
+            for r in df.mapInArrow(_as_streams, "ipc binary").toLocalIterator(prefetchPartitions=True):
+                block = pa.ipc.open_stream(bytes(r.ipc)).read_all().cast(schema)  # noqa: F841
+                db.execute(f'INSERT INTO "{name}" ({columns}) SELECT {columns} FROM block')
 
-            def flush() -> None:
-                block = pa.Table.from_pylist(rows, schema)  # noqa: F841
-                db.execute(f'INSERT INTO "{name}" BY NAME SELECT * FROM block')
-                rows.clear()
 
-            for r in df.toLocalIterator(prefetchPartitions=True):
-                rows.append(r.asDict(recursive=True))
-                if len(rows) >= 65536:
-                    flush()
-            if rows:
-                flush()
+def _as_streams(batches):
+    """Each batch as one binary cell, so that the driver gets columns and not rows."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+
+def create_table_text(name: str, schema) -> str:
+    """The DuckDB statement that creates a table of this Spark schema; nested types stay nested."""
+    from pyspark.sql import types as T
+
+    def kind(t) -> str:
+        if isinstance(t, T.ArrayType):
+            return kind(t.elementType) + "[]"
+        if isinstance(t, T.StructType):
+            return "STRUCT(" + ", ".join(f'"{f.name}" {kind(f.dataType)}' for f in t.fields) + ")"
+        if isinstance(t, T.MapType):
+            return f"MAP({kind(t.keyType)}, {kind(t.valueType)})"
+        if isinstance(t, T.DecimalType):
+            return f"DECIMAL({t.precision},{t.scale})"
+        return DUCKDB_TYPES[t.simpleString()]
+
+    quoted = name.replace('"', '""')
+    return f'CREATE TABLE "{quoted}" (' + ", ".join(f'"{f.name}" {kind(f.dataType)}' for f in schema.fields) + ")"
+
+
+def _append_parquet(spark: SparkSession, df: DataFrame, target: str) -> None:
+    """Appends to a Parquet folder. The schemas are merged first: an impossible merge is an error before anything is written;
+    where the folder's own files would not do any more, they are written anew beside it and take its place."""
+    old = spark.read.parquet(target)
+    change = compare_schemas(old.schema, df.schema)
+    if not change.needed:
+        project(df, change.merged).write.mode("append").option("compression", "zstd").parquet(target)
+        return
+    beside = f"{target}.{uuid.uuid4().hex}"
+    project(old, change.merged).unionByName(project(df, change.merged)).write.option("compression", "zstd").parquet(beside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(path(target), path(f"{beside}.old"))
+    fs.rename(path(beside), path(target))
+    fs.delete(path(f"{beside}.old"), True)
 
 
 def write_output(spark: SparkSession, frames: dict[str, DataFrame], path: str, fmt: str | None = None, mode: str = "error", encoding: str = "ros1") -> dict[str, str]:
-    """Writes all tables; every mode holds for every format and table, and in mode error all names are
+    """Writes all tables (those of metadata are always replaced, and don't go to a recording); every mode holds for every format and table, and in mode error all names are
     checked before anything is written. Returns table name -> the name it was given."""
     if mode not in MODES:
         raise UnsupportedFormat(f"mode {mode}")
@@ -178,6 +223,13 @@ def write_output(spark: SparkSession, frames: dict[str, DataFrame], path: str, f
     if len(set(given.values())) < len(given):
         raise TableExists("two topics have the same table name")
     named = {given[n]: f for n, f in frames.items()}
+    meta = {n: f for n, f in named.items() if n in ("_channels", "_schemas")}
+    named = {n: f for n, f in named.items() if n not in meta}
+    if meta and fmt != "mcap" and mode != "overwrite":
+        write_output(spark, named, path, fmt, mode, encoding)
+        write_output(spark, meta, path, fmt, "overwrite", encoding)
+        return given
+    named |= meta if fmt != "mcap" else {}
     if fmt == "mcap":
         from tidelog.operators.export import export
 
@@ -193,7 +245,11 @@ def write_output(spark: SparkSession, frames: dict[str, DataFrame], path: str, f
         if mode == "error" and there & set(named):
             raise TableExists(sorted(there & set(named))[0])
         for n, f in named.items():
-            f.write.mode(mode).option("compression", "zstd").parquet(f"{path.rstrip('/')}/{n}.parquet")
+            target = f"{path.rstrip('/')}/{n}.parquet"
+            if mode == "append" and n in there:
+                _append_parquet(spark, f, target)
+            else:
+                f.write.mode(mode).option("compression", "zstd").parquet(target)
     elif fmt == "duckdb":
         write_duckdb(named, path, mode)
     else:
