@@ -14,7 +14,6 @@ from typing import BinaryIO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidelog.errors import UnsupportedFormat
 from tidelog.functions.definitions import definition_text
@@ -40,8 +39,9 @@ def log_time(df: DataFrame, column: str = "_log_time") -> DataFrame:
 
 
 def payloads(frames: dict[str, DataFrame], encoding: str = "ros1") -> tuple[DataFrame, dict[str, tuple[str, bytes]]]:
-    """(topic, place, _log_time, data) of all topics, and each topic's schema name and data. Envelope columns
-    other than the log time are not message fields."""
+    """(topic, place, _log_time, _publish_time, _sequence, turn, data) of all topics, and each topic's schema name and data. Envelope columns
+    are not message fields; a frame that has no own publish time takes the log time, and one that has no own sequence
+    gets a null. ``turn`` is the row's place in the frame's order of partitions and rows."""
     coded, schemas = [], {}
     for place, (topic, frame) in enumerate(frames.items()):
         df = log_time(frame)
@@ -53,29 +53,33 @@ def payloads(frames: dict[str, DataFrame], encoding: str = "ros1") -> tuple[Data
         else:
             data = definition_text(fields, name).encode()
         schemas[topic] = (name, data)
-        coded.append(encode(df.select("_log_time", *fields.names), name, data, encoding).select(F.lit(topic).alias("topic"), F.lit(place).alias("place"), "_log_time", "data"))
+        own = {c: F.col(c).cast("long") if c in df.columns else other for c, other in (("_publish_time", F.col("_log_time")), ("_sequence", F.lit(None).cast("long")))}
+        df = df.select("_log_time", *(x.alias(c) for c, x in own.items()), F.monotonically_increasing_id().alias("__turn"), *(f"`{n}`" for n in fields.names))
+        kept = ["_publish_time", "_sequence", "__turn"]
+        coded.append(encode(df, name, data, encoding, kept=kept).select(F.lit(topic).alias("topic"), F.lit(place).alias("place"), "_log_time", "_publish_time", "_sequence", F.col("__turn").alias("turn"), "data"))
     return reduce(DataFrame.unionAll, coded), schemas
 
 
 def in_order(coded: DataFrame) -> DataFrame:
-    """Rows by time, then by the topic's place, with each topic's running number."""
-    numbered = coded.withColumn("_sequence", F.row_number().over(Window.partitionBy("topic").orderBy("_log_time", F.xxhash64("data"))) - 1)
-    return numbered.orderBy("_log_time", "place", "_sequence")
+    """Rows by time, then by the topic's place, their own sequence, and the order they came in: one range-partitioned sort."""
+    return coded.orderBy("_log_time", "place", F.col("_sequence").asc_nulls_last(), "turn")
 
 
-def export(frames: dict[str, DataFrame], out: BinaryIO, encoding: str = "ros1", compression: str = "zstd") -> ExportStats:
-    """Writes one recording. A reader that closes the pipe ends the export without an error."""
+def export(frames: dict[str, DataFrame], out: BinaryIO, encoding: str = "ros1", compression: str = "zstd", metadata: dict[str, dict[str, str]] | None = None) -> ExportStats:
+    """Writes one recording. Messages keep their own sequence; a topic without one gets running numbers. ``metadata``: each
+    channel's own. A reader that closes the pipe ends the export without an error."""
     coded, held = payloads(frames, encoding)
     topics = list(frames)
     schemas = [Schema(i + 1, held[t][0], SCHEMA_ENCODINGS.get(encoding, "ros1msg"), held[t][1]) for i, t in enumerate(topics)]
-    channels = [Channel(i, i + 1, t, encoding) for i, t in enumerate(topics)]
+    channels = [Channel(i, i + 1, t, encoding, (metadata or {}).get(t, {})) for i, t in enumerate(topics)]
     stats = ExportStats(by_topic=dict.fromkeys(topics, 0))
 
     def messages() -> Iterator[Message]:
         for r in in_order(coded).toLocalIterator(prefetchPartitions=True):
+            own = stats.by_topic[r.topic] if r._sequence is None else r._sequence
             stats.messages += 1
             stats.by_topic[r.topic] += 1
-            yield Message(r.place, r._sequence, r._log_time, r._log_time, bytes(r.data))
+            yield Message(r.place, own, r._log_time, r._publish_time, bytes(r.data))
 
     try:
         for part in pack(schemas, channels, messages(), compression):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -46,10 +47,13 @@ class TableStore:
         if old and mode == "append":
             schema = compare_schemas(T.StructType.fromJson(old["schema"]), df.schema).merged
             df = project(df, schema)
+        return self._put(name, df, schema, old, [] if mode == "overwrite" or not old else old["parts"])
+
+    def _put(self, name: str, df: DataFrame, schema: T.StructType, old: dict | None, kept: list) -> int:
         folder = f"{self.root}/{name}.tbl/data-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
         version = (old["version"] if old else 0) + 1
-        manifest = {"version": version, "schema": schema.jsonValue(), "folders": [*(old["folders"] if old and mode == "append" else []), folder]}
+        manifest = {"version": version, "schema": schema.jsonValue(), "parts": [*kept, [folder, df.schema.jsonValue()]]}
         p, fs = self._fs(f"{self.root}/{name}.tbl/manifests/{version:012d}.json")
         out = fs.create(p, False)  # a second writer of this version fails here
         out.write(bytearray(json.dumps(manifest).encode()))
@@ -57,15 +61,21 @@ class TableStore:
         return version
 
     def read(self, name: str) -> DataFrame:
+        """All parts, those of one schema by one scan."""
         manifest = self._manifest(name)
         if manifest is None:
             raise TableNotFound(name)
         schema = T.StructType.fromJson(manifest["schema"])
-        frames = [project(self.spark.read.parquet(f), schema) for f in manifest["folders"]]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        folders: dict[str, list[str]] = {}
+        for folder, own in manifest["parts"]:
+            folders.setdefault(json.dumps(own), []).append(folder)
+        frames = [project(self.spark.read.schema(T.StructType.fromJson(json.loads(own))).parquet(*paths), schema) for own, paths in folders.items()]
+        return reduce(DataFrame.unionByName, frames)
+
+    def compact(self, name: str) -> int:
+        """The next version, with all rows in one folder of the present schema."""
+        df = self.read(name)
+        return self._put(name, df, df.schema, self._manifest(name), [])
 
     def register_views(self) -> list[str]:
         for n in self.tables():

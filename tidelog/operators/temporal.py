@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelog.errors import NameClash
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: list[str], suffix: str = "_right") -> DataFrame:
     """Each left row with ``columns`` of the last right row of its key at or before its time, or nulls. One shuffle
-    on the key and a running ``last``: both sides stand in one window, so no pairs are made."""
-    own = left.select(*(F.col(c).alias(c) for c in by), F.col(on).alias(on), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).alias("__right"))
-    kind = "struct<" + ", ".join(f"{c}{suffix}: {right.schema[c].dataType.simpleString()}" for c in [on, *columns]) + ">"
-    other = right.select(*(F.col(c).alias(c) for c in by), F.col(on).alias(on), F.lit(0).alias("__side"), F.lit(None).alias("__left"), F.struct(*(F.col(c).alias(c + suffix) for c in [on, *columns])).cast(kind).alias("__right"))
-    window = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = own.unionByName(other).withColumn("__right", F.last("__right", ignorenulls=True).over(window))
-    return both.filter("__side = 1").select("__left.*", "__right.*")
+    on the key and a running ``last``: both sides stand in one window, so no pairs are made. A null key or time equals
+    nothing, so such left rows get nulls (and pass by the shuffle) and such right rows are not used. Of right rows of one key and time any may be the last. Names may hold any characters;
+    one that would stand twice in the result is an error."""
+    added = [c + suffix for c in [on, *columns]]
+    if clash := set(left.columns) & set(added) | {c for c in added if added.count(c) > 1}:
+        raise NameClash(", ".join(sorted(clash)))
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kind = T.StructType([T.StructField(c + suffix, right.schema[c].dataType) for c in [on, *columns]])
+    keys = [f"k{i}" for i in range(len(by))]
+    own = left.select(*(q(c).alias(k) for c, k in zip(by, keys)), q(on).alias("at"), F.lit(1).alias("side"), F.struct(*(q(c) for c in left.columns)).alias("own"), F.lit(None).cast(kind).alias("other"))
+    other = right.select(*(q(c).alias(k) for c, k in zip(by, keys)), q(on).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), F.struct(*(q(c).alias(c + suffix) for c in [on, *columns])).cast(kind).alias("other"))
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in [*keys, "at"])
+    window = Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.filter(whole).unionByName(other.filter(whole)).withColumn("other", F.last("other", ignorenulls=True).over(window)).filter("side = 1")
+    return both.select("own", "other").unionAll(own.filter(f"NOT ({whole})").select("own", "other")).select("own.*", "other.*")
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, width: int) -> DataFrame:
