@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.errors import TidelogError
 from tidelog.functions.names import topic_name
@@ -36,6 +38,14 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def counted(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table, by one job."""
+    if not frames:
+        return {}
+    each = reduce(DataFrame.unionAll, (f.select(F.lit(n).alias("n")) for n, f in frames.items()))
+    return dict.fromkeys(frames, 0) | {r.n: r["count"] for r in each.groupBy("n").count().collect()}
+
+
 def _convert(spark: SparkSession, args: argparse.Namespace) -> int:
     if not args.stdout and not args.output:
         raise TidelogError("give --output or --stdout")
@@ -48,10 +58,12 @@ def _convert(spark: SparkSession, args: argparse.Namespace) -> int:
         frames = {topic_name(n): f for n, f in frames.items()}
     if args.stdout:
         stats = export(frames, sys.stdout.buffer, args.encoding)
-        print(f"{stats.messages} messages, {len(stats.by_topic)} topics", file=sys.stderr)
+        print(f"{stats.messages} messages, {len(stats.by_topic)} topics", *(f"  {t}: {n}" for t, n in sorted(stats.by_topic.items())), sep="\n", file=sys.stderr)
         return 0
-    written = write_output(spark, frames, args.output, target, args.mode, args.encoding)
-    print(f"{len(args.inputs)} inputs, {len(written)} tables", *(f"  {t} -> {n}" for t, n in sorted(written.items())), sep="\n", file=sys.stderr)
+    tables = frames | ({n: source.table(n) for n in ("_channels", "_schemas")} if recording and target != "mcap" else {})
+    written = write_output(spark, tables, args.output, target, args.mode, args.encoding)
+    counts = counted(frames)
+    print(f"{len(args.inputs)} inputs, {len(frames)} tables, {sum(counts.values())} rows", *(f"  {t} -> {written[t]}: {n}" for t, n in sorted(counts.items())), sep="\n", file=sys.stderr)
     if args.shell:
         Shell(spark, open_input(spark, args.output, target)).run()
     return 0

@@ -36,8 +36,10 @@ def _folder_bytes(spark: SparkSession, path: str) -> int:
 def analyze(spark: SparkSession, paths: list[str], out: str, clean: bool = False) -> Analysis:
     """Decodes every topic once a format and measures what it takes. A topic that fails in one format
     is removed there and reported; the rest goes on. ``clean`` removes what was written."""
-    files = R.read_files(spark, *paths)
-    messages = R.envelopes(files)
+    messages = R.staged(R.recording(spark, *paths))
+    kinds: dict[str, list] = {}
+    for r in R.topics_of(messages).collect():  # a row a kind of channel
+        kinds.setdefault(r.topic, []).append(r)
     sizes = messages.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("data")).alias("bytes"))
     held = {r.topic: [r.messages, r.bytes] for r in sizes.collect()}  # a row a topic
     seconds, errors = dict.fromkeys(FORMATS, 0.0), {}
@@ -48,7 +50,7 @@ def analyze(spark: SparkSession, paths: list[str], out: str, clean: bool = False
         for topic, row in sorted(held.items()):
             folder = f"{out.rstrip('/')}/{label}/{table_name(topic)}"
             try:
-                R.topic_frame(messages, topic).write.format(fmt).option("compression", compression).mode("overwrite").save(folder)
+                R.topic_frame(messages, topic, kinds=kinds[topic]).write.format(fmt).option("compression", compression).mode("overwrite").save(folder)
                 row.append(_folder_bytes(spark, folder))
             except Exception as e:  # the report names it
                 errors[topic, label] = f"{type(e).__name__}: {e}".split("\n")[0]

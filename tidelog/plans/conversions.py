@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidelog.functions.protobuf import descriptor_set
 from tidelog.operators.export import export, in_order, payloads
 from tidelog.sources import recording as R
 from tidelog.sources.formats import open_input, write_output
+from tidelog.sources.shared import shared_folder
 from tidelog.streaming import events as S
 
 
@@ -25,8 +27,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _local() -> str:
@@ -45,24 +46,25 @@ def proto_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _topics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     events = _events(spark, sf_dir).select("_log_time", "event_id", "user_id", "value", "event_type")
-    return {f"/{t}": events.filter(F.col("event_type") == t).drop("event_type") for t in ("click", "purchase", "view")}
+    kinds = sorted(r.event_type for r in events.select("event_type").distinct().collect())  # a row a type
+    return {f"/{t}": events.filter(F.col("event_type") == t).drop("event_type") for t in kinds}
 
 
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three topics in the order of an export: time, then the topics' order."""
-    coded, schemas = payloads(_topics(spark, sf_dir))
-    return in_order(coded).groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.max("_sequence").cast("long").alias("last"), F.min("_log_time").alias("start"))
+    """All topics in the order of an export: time, then the topics' order."""
+    ordered = in_order(payloads(_topics(spark, sf_dir))[0])
+    return ordered.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.min("_log_time").alias("start"), F.max("_log_time").alias("stop"))
 
 
 def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ordered recording, written by the driver and read back."""
+    """One ordered recording, written and read back, all topics."""
     path = os.path.join(_local(), "all.mcap")
     with open(path, "wb") as out:
         export(_topics(spark, sf_dir), out)
-    with open(path, "rb") as held:  # the file is this machine's, so its content goes to the cluster as a row
-        files = spark.createDataFrame([("all", bytearray(held.read()))], "path string, content binary")
-    found = R.topic_frame(R.envelopes(files), "/purchase")
-    return found.select("_log_time", "event_id", "user_id", "value")
+    shared = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}.mcap")  # the file is this machine's
+    shared.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), shared)
+    found = R.topic_frames(R.recording(spark, shared.toString()))
+    return reduce(DataFrame.unionAll, (f.select("_log_time", "event_id", "user_id", "value") for f in found.values()))
 
 
 def parquet_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +97,14 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by type, taken as a stream; complete once the stream is drained."""
-    out, place = S.tumbling(_event_stream(spark, sf_dir), "at", "1 hour", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n")]), _shared(spark)
-    name = "tide_" + uuid.uuid4().hex
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.expr("unix_seconds(window_start)").alias("hour"), "event_type", "n")
+    """Hourly counts by type, as a stream into Parquet files; windows are written once the watermark is past them, so a far last event, left out again, follows."""
+    place, events = _shared(spark), _table(spark, sf_dir, "events")
+    events.write.parquet(f"{place}/in/1")
+    events.limit(1).withColumn("ts", F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))).write.parquet(f"{place}/in/2")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in").withColumn("at", F.col("ts").cast("timestamp"))
+    counts = S.tumbling(stream, "at", "1 hour", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n")])
+    S.drain(counts, f"{place}/out", f"{place}/state")
+    return spark.read.parquet(f"{place}/out").select(F.expr("unix_seconds(window_start)").alias("hour"), "event_type", "n")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +117,8 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 NS = "epoch_us(ts) * 1000"
 _PAIRS = {
     "rec_proto_nested": (proto_nested, "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, l_linenumber, l_quantity, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
-    "rec_export_order": (export_order, f"SELECT '/' || event_type AS topic, count(*) AS messages, count(*) - 1 AS last, min({NS}) AS start FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY event_type"),
-    "rec_export_file": (export_file, f"SELECT {NS} AS _log_time, event_id, user_id, value FROM events WHERE event_type = 'purchase'"),
+    "rec_export_order": (export_order, f"SELECT '/' || event_type AS topic, count(*) AS messages, min({NS}) AS start, max({NS}) AS stop FROM events GROUP BY event_type"),
+    "rec_export_file": (export_file, f"SELECT {NS} AS _log_time, event_id, user_id, value FROM events"),
     "rec_parquet_folder": (parquet_folder, "SELECT event_id, user_id, value FROM events WHERE event_type IN ('click', 'view')"),
     "rec_two_inputs": (two_inputs, "SELECT n_nationkey, n_name, CASE WHEN n_nationkey >= 10 THEN n_regionkey END AS n_regionkey FROM nation"),
     "rec_duckdb_file": (duckdb_file, "SELECT * FROM supplier"),

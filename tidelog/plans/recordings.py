@@ -3,19 +3,16 @@ compared with SQL on the table itself."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.codecs import Codec
-from tidelog.functions.definitions import Registry
 from tidelog.functions.names import table_name_column
 from tidelog.operators import temporal
 from tidelog.operators.tables import TableStore
 from tidelog.sources import recording as R
+from tidelog.sources.shared import shared_folder
 
 EVENT = ("tide/Event", "int64 event_id\nint64 user_id\nfloat64 value\nstring props\nstring event_type")
 POINT = ("tide/Fixed", "int64 event_id\nint64 user_id\nfloat64 value")
@@ -30,22 +27,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("_log_time", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
 
 
-def _recording(spark: SparkSession, sf_dir: str, encoding: str = "ros1", files: int = 4) -> DataFrame:
+def _recording(spark: SparkSession, sf_dir: str, encoding: str = "ros1") -> DataFrame:
     """Events as recordings, a topic for each event type."""
     events = _events(spark, sf_dir)
-    kinds = [r.event_type for r in events.select("event_type").distinct().collect()]
-    rows = _coded_by_topic(events, encoding)
-    return R.pack_files(rows, {f"/events/{k}": (*EVENT, encoding) for k in kinds}, files)
-
-
-def _coded_by_topic(events: DataFrame, encoding: str) -> DataFrame:
-    def run(batches):
-        codec = Codec(EVENT[0], Registry.parse(*EVENT), R.ENCODINGS[encoding])
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(["/events/" + r["event_type"] for r in rows]), batch.column(0), pa.array([codec.encode(r) for r in rows], pa.binary())], names=["topic", "_log_time", "data"])
-
-    return events.select("_log_time", "event_id", "user_id", "value", "props", "event_type").mapInArrow(run, "topic string, _log_time long, data binary")
+    kinds = [r.event_type for r in events.select("event_type").distinct().collect()]  # a row a type
+    rows = R.encode(events, *EVENT, encoding, kept=["event_type"]).select(F.concat(F.lit("/events/"), "event_type").alias("topic"), "_log_time", "data")
+    return R.pack_files(rows, {f"/events/{k}": (*EVENT, encoding) for k in kinds}, spark.sparkContext.defaultParallelism)
 
 
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +91,7 @@ def time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> TableStore:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    return TableStore(spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
+    return TableStore(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
 
 
 def evolve_append(spark: SparkSession, sf_dir: str) -> DataFrame:

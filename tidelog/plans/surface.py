@@ -45,7 +45,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "window_range_interval": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events",
     "window_ignore_nulls": ("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events"),
     "window_qualify": ("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
-    "window_exclude_current": ("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS others FROM orders", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS others FROM orders"),
+    "window_exclude_current": ("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS others FROM orders", "SELECT o_orderkey, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 0), 2) AS others FROM orders"),
     "sort_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
     "sort_nulls": ("SELECT c, rn FROM (SELECT c, row_number() OVER (ORDER BY c ASC NULLS LAST, k) AS rn FROM (SELECT nullif(n_regionkey, 2) AS c, n_nationkey AS k FROM nation))",) * 2,
     "set_union": "SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey FROM supplier",
@@ -60,11 +60,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_math": "SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) AS a, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_tax * 100) AS BIGINT) AS c, round(sqrt(l_quantity), 6) AS q, round(ln(l_extendedprice), 6) AS n, l_orderkey % 7 AS m, greatest(l_discount, l_tax) AS g, l_linenumber & 3 AS b FROM lineitem",
     "fn_array": ("SELECT vec_id, size(embedding) AS n, embedding[0] AS first, round(aggregate(embedding, 0D, (a, x) -> a + x), 4) AS s, size(filter(embedding, x -> x > 0)) AS pos, element_at(array_sort(embedding), 1) AS least FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, embedding[1] AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS s, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS pos, list_min(embedding) AS least FROM embeddings"),
     "fn_unnest": ("SELECT vec_id, pos, v FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, v", "SELECT vec_id, CAST(pos - 1 AS INT) AS pos, embedding[pos] AS v FROM embeddings, (SELECT unnest([1, 2, 3]) AS pos)"),
-    "fn_struct_map": ("SELECT n_nationkey, s.a AS a, s.b AS b, element_at(map(n_name, n_regionkey), n_name) AS m FROM (SELECT n_nationkey, n_name, n_regionkey, named_struct('a', n_name, 'b', n_regionkey * 2) AS s FROM nation)", "SELECT n_nationkey, s.a AS a, s.b AS b, n_regionkey AS m FROM (SELECT n_nationkey, n_regionkey, {'a': n_name, 'b': n_regionkey * 2} AS s FROM nation)"),
+    "fn_struct_map": ("SELECT n_nationkey, s.a AS a, s.b AS b, element_at(map(n_name, n_regionkey), n_name) AS m FROM (SELECT n_nationkey, n_name, n_regionkey, named_struct('a', n_name, 'b', n_regionkey * 2) AS s FROM nation)", "SELECT n_nationkey, s.a AS a, s.b AS b, m[n_name] AS m FROM (SELECT n_nationkey, n_name, MAP {n_name: n_regionkey} AS m, {'a': n_name, 'b': n_regionkey * 2} AS s FROM nation)"),
     "fn_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
     "fn_binary": ("SELECT n_nationkey, hex(n_name) AS h, octet_length(encode(n_name, 'UTF-8')) AS o FROM nation", "SELECT n_nationkey, hex(encode(n_name)) AS h, CAST(octet_length(encode(n_name)) AS INT) AS o FROM nation"),
     "fn_conditional": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, TRY_CAST(c_name AS INT) AS t FROM customer",
-    "interval_join": "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 1 DAY",
 }
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from tidelog.errors import TidelogError
 from tidelog.functions.names import size_text
-from tidelog.plans.front import rendered, run_sql
+from tidelog.plans.front import pages, run_sql
 from tidelog.sources.formats import Input
 
 #: The commands and what they do.
@@ -34,23 +34,31 @@ class Shell:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
 
     def execute(self, line: str) -> str | None:
-        """The answer to one line; None to leave."""
+        """The whole answer to one line; None to leave."""
+        parts = list(self.answers(line))
+        return None if None in parts else "\n".join(parts)
+
+    def answers(self, line: str) -> Iterator[str | None]:
+        """The answer to one line, a page of rows at a time; None to leave."""
         text = line.strip().rstrip(";").strip()
         word, _, rest = text.partition(" ")
         if word in ("\\q", "\\quit"):
-            return None
+            yield None
+            return
         if word in ("\\h", "\\help", "\\?"):
-            return "\n".join(f"{c:10} {what}" for c, what in HELP.items())
+            yield "\n".join(f"{c:10} {what}" for c, what in HELP.items())
+            return
         try:
             if word in ("\\dt", "\\tables", "\\dt+", "\\d+"):
-                return self._listing(word.endswith("+"))
-            if word in ("\\d", "\\describe"):
-                return "\n".join(f"{f.name}  {f.dataType.simpleString()}" for f in self.source.table(rest.strip()).schema.fields) if rest else self._listing(False)
-            if word.startswith("\\"):
-                return f"unknown command {word}; \\h lists them"
-            return rendered(run_sql(self.spark, text)) if text else ""
+                yield self._listing(word.endswith("+"))
+            elif word in ("\\d", "\\describe"):
+                yield "\n".join(f"{f.name}  {f.dataType.simpleString()}" for f in self.source.table(rest.strip()).schema.fields) if rest else self._listing(False)
+            elif word.startswith("\\"):
+                yield f"unknown command {word}; \\h lists them"
+            elif text:
+                yield from pages(run_sql(self.spark, text))
         except (TidelogError, PySparkException) as e:
-            return f"{type(e).__name__}: {e}"
+            yield f"{type(e).__name__}: {e}"
 
     def run(self, read: Callable[[str], str] = input, write: Callable[[str], object] = print) -> None:
         """Until the end of input or a command to leave; an interrupt drops the line; SQL goes on to its ``;``."""
@@ -66,9 +74,9 @@ class Shell:
             held.append(line)
             if line.strip() and not line.strip().startswith("\\") and not line.rstrip().endswith(";"):
                 continue
-            answer = self.execute("\n".join(held))
-            held = []
-            if answer is None:
-                return
-            if answer:
-                write(answer)
+            text, held = "\n".join(held), []
+            for answer in self.answers(text):
+                if answer is None:
+                    return
+                if answer:
+                    write(answer)
