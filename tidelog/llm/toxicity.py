@@ -12,7 +12,7 @@ characters in overlapping windows of that length. Words under ``LENGTH`` charact
 
 Training, on a sample of labelled texts (at most ``TOXIC`` and ``CLEAN`` rows of the two classes within ``samples.SAMPLE_CHARS``, the
 sample's only bounds): a unit is evidence if toxic texts hold it significantly more often than clean ones (a likelihood ratio over ``EVIDENCE``),
-where a repetition in the same neighbourhood counts once, so copies of one text prove nothing. Landmarks are chosen by
+where occurrences between the same two words count once, so copies of one text prove nothing. Landmarks are chosen by
 pivoted Cholesky among the evidence and the clean units that resemble it, until nothing is left to explain or there
 are ``LANDMARKS``, the rank of the Nyström map. A squared-hinge machine is trained on the whitened
 features: evidence positive, each weighted by its occurrences; all units of clean texts negative. A text's score is a logistic function,
@@ -199,7 +199,7 @@ def _pivots(square: np.ndarray, most: int, least: float = 0.02) -> list[int]:
 
 
 class Evidence:
-    """Units of a sample with their occurrences in toxic and clean texts, one for each word that they follow."""
+    """Units of a sample with their occurrences in toxic and clean texts: texts, but no more than pairs of words around them."""
 
     def __init__(self, texts: list[str], labels: list[int]):
         names: dict[str, int] = {}
@@ -215,8 +215,8 @@ class Evidence:
             for w, i in fresh:
                 if i not in units_by_word:
                     units_by_word[i] = [place.setdefault(u, len(place)) for u in units_of_word(w)]
-            before = np.concatenate([[-1], ids[:-1]])
-            pairs[y].append(np.unique(ids << 32 | before + 1))
+            around = (np.concatenate([[-1], ids[:-1]]) + 1) * 0x9E3779B1 + (np.concatenate([ids[1:], [-1]]) + 1) * 0x85EBCA77
+            pairs[y].append(np.unique(ids << 32 | around & 0x7FFFFFFF))
             held[y].append(np.unique(ids))
         self.units = [*place]
         words_n = len(names)
