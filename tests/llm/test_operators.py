@@ -2,8 +2,12 @@
 
 import hashlib
 import itertools
+import math
+import pickle
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -11,9 +15,10 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, fingerprint, htmltext, jaccard, mixing, quality, telephony, toxicity, urls
+from tidelog.llm import bpe, chat, fingerprint, htmltext, jaccard, mixing, quality, skew, telephony, toxicity, urls
 from tidelog.llm.shingles import shingle_sets
 
+TOKENS = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, `key` string"
 WORDS = "the of and loser plain river stone cloud bird table green walk little house light".split()
 
@@ -62,9 +67,9 @@ def test_odd_inputs(spark):
     assert quality.quality_table(df, labels).count() == len(ODD)
     for f in (toxicity.toxicity_table, quality.quality_table):
         assert f(none, labels).count() == 0
-    mixed = mixing.mixed_table(df)
+    mixed = mixing.mixed_table(df, *TOKENS)
     assert mixed.count() == len(ODD) and mixed.select("row.*").columns == df.columns
-    assert mixing.mixed_table(none).count() == 0
+    assert mixing.mixed_table(none, *TOKENS).count() == 0 and mixing.reached(mixing.mixed_table(none, *TOKENS)).count() == 35
 
 
 def test_telephony():
@@ -103,6 +108,55 @@ def test_fingerprints(spark):
     assert fingerprint.likeness(*shifted[:2]) > 0.8 and fingerprint.likeness(shifted[0], shifted[2]) < 0.4
 
 
+def scalar_parse(names):
+    """One level of locally consistent parsing, item by item."""
+    word = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & word
+        x ^= x >> 29
+        x = x * 0xA0761D6478BD642F & word
+        return x ^ x >> 32
+
+    items = [mixed((n + (len(list(run)) - 1) * 0x9E3779B97F4A7C15) & word) for n, run in itertools.groupby(names)]
+    labels = [x & 0xFFFFFFFF for x in items]
+    for _ in range(3):
+        tossed = []
+        for i, own in enumerate(labels):
+            differ = own ^ labels[i - 1] if i else 1
+            place = (differ & -differ).bit_length() - 1
+            tossed.append(2 * place + (own >> place & 1))
+        labels = tossed
+    begins = [i for i in range(len(items)) if i == 0 or labels[i] > labels[i - 1] and (i + 1 == len(items) or labels[i + 1] <= labels[i])]
+    out = []
+    for a, b in zip(begins, begins[1:] + [len(items)]):
+        out.append(mixed(sum(x * pow(fingerprint.FACTOR, k, 1 << 64) for k, x in enumerate(items[a:b])) & word))
+    return out
+
+
+def test_fingerprints_by_scalar_parsing():
+    r = random.Random(12)
+    for t in ["", "a", "ab", "aaaaaaa", "abab" * 9, *texts(6), "".join(r.choice("xyz é😀") for _ in range(700))]:
+        level, parts = 0, {}
+        names = [ord(c) for c in t]
+        while level < fingerprint.LEAST or len(names) >= fingerprint.ENOUGH:
+            names, level = scalar_parse(names), level + 1
+            if level == fingerprint.LEAST or level > fingerprint.LEAST and len(names) >= fingerprint.ENOUGH:
+                parts[level] = sorted({n >> 32 for n in names})[: fingerprint.SKETCH]
+        want = "|".join(f"{k}:" + "".join(f"{n:08x}" for n in v) for k, v in sorted(parts.items(), reverse=True))
+        assert fingerprint.fingerprints([t]) == [want], t
+
+
+def test_short_fingerprints():
+    a, b, c, d, none = fingerprint.fingerprints(["the cat sat on a mat", "a mat sat on the cat", "My dog barked loudly at night in the rain, didn't he now", "Several people walked home early from work this Tuesday", ""])
+    assert a != b and 0 < fingerprint.likeness(a, b) < 0.9 and fingerprint.likeness(c, d) < 0.1
+    assert fingerprint.likeness(none, none) == 1 and fingerprint.likeness(none, a) == 0
+    base = "Several people walked home early from work this Tuesday, and nobody minded the rain at all"
+    near = fingerprint.fingerprints([base, base.replace("early", "late")])
+    assert fingerprint.likeness(*near) > 0.5
+
+
 def brute_components(rows, percent=90):
     sets = {}
     for i, t in rows:
@@ -127,10 +181,20 @@ def test_jaccard(spark, monkeypatch):
         rows.append((100 + i, " ".join(w)))
     rows += [(300, None), (301, ""), (302, "one"), (303, "one"), (304, "one two"), (305, "ONE two")]
     want = brute_components(rows)
-    for cell in (256, 8):  # small cells are dealt into parts and bands
+    for cell, count in ((512, False), (8, False), (8, True)):  # small cells are dealt into parts and bands
         monkeypatch.setattr(jaccard, "CELL", cell)
-        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined_table(table(spark, rows)).collect()}
-        assert got == want
+        got = jaccard.joined_table(table(spark, rows), count_links=count).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w := (t or "").lower().split()) > 2 else {tuple(w)} - {()} for i, t in rows}
+    assert {x.doc_id: x.n_links for x in got} == {a: sum(b != a and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+
+
+def test_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 4)
+    rows = spark.createDataFrame([(1, 7)] * 50 + [(2, 7), (3, 8), (None, 9)], "k long, x int")
+    lookup = spark.createDataFrame([(1, 50, "a"), (2, 1, "b"), (5, 1, "e")], "k long, n long, v string")
+    got = skew.looked_up(rows, lookup, "k", "n", ["v"]).groupBy("k", "v").count().collect()
+    assert {(r.k, r.v, r["count"]) for r in got} == {(1, "a", 50), (2, "b", 1), (3, None, 1), (None, None, 1)}
 
 
 def test_count_tree():
@@ -163,14 +227,54 @@ def test_chat(spark):
     assert chat.read_back(chat.windows_table(df.limit(0))).count() == 0
 
 
+def brute_ratio(key, counts, order=urls.ORDER, blend=urls.BLEND):
+    """The mean logarithm of rejected over accepted probability of a key's characters, by counting."""
+    padded, total = "^" * order + key, 0.0
+    for at in range(order, len(padded)):
+        p = [1 / 256, 1 / 256]
+        for k in range(order + 1):
+            gram = padded[at - k : at + 1]
+            for y in (0, 1):
+                p[y] = (counts[y].get(gram, 0) + blend * p[y]) / (counts[y].get(("sum", gram[:-1]), 0) + blend)
+        total += math.log(p[1] / p[0])
+    return total / len(key)
+
+
+def counted(names, order=urls.ORDER):
+    out = {}
+    for name, n in names:
+        padded = "^" * order + name
+        for at in range(order, len(padded)):
+            for k in range(order + 1):
+                for g in (padded[at - k : at + 1], ("sum", padded[at - k : at])):
+                    out[g] = out.get(g, 0) + n
+    return out
+
+
 def test_urls(spark):
-    rows = [(i, f"https://h{i % 9}.example.com/fr/{i}") for i in range(60)] + [(100 + i, f"http://m.casino-{i % 4}.example.org/en/{i}") for i in range(30)]
-    rows += [(200, None), (201, "nothing"), (202, "HTTP://A.Example.COM/en/7x?q#f"), (203, "x://org/es/1"), (204, "x://example.net/de/80"), (205, "x://sub.example.net/de/9"), (206, "x://notcom/en/")]
-    got = {r.page_id: r for r in urls.judged_table(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    rows = [(i, f"https://h{i % 9}.example.com/fr/{i}") for i in range(60)] + [(100 + i, f"http://m.royalcasino-{'abcd'[i % 4]}.example.org/en/{i}") for i in range(30)]
+    rows += [(200, None), (201, "nothing"), (202, "HTTP://A.Example.COM/en/7x?q#f"), (203, "x://org/es/1"), (204, "x://example.net/de/80"), (205, "x://sub.example.net/de/9"), (206, "x://notcom/en/"), (207, "x://org/es/1"), (207, "x://org/es/1"), (208, "x://long.org/" + "ab/" * 5000)]
+    found = urls.judged_table(spark.createDataFrame(rows, "page_id long, url string").withColumn("key", F.lit(1)).withColumn("host", F.lit(2))).collect()
+    got = {r.page_id: r for r in found}
+    assert len(found) == len(rows)
     assert (got[200].host, got[200].path, got[200].rule, got[200].verdict) == ("", "", None, "allow") == (got[201].host, got[201].path, got[201].rule, got[201].verdict)
     assert (got[202].host, got[202].path, got[202].rule, got[202].verdict) == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
-    assert [got[i].rule for i in (203, 204, 205, 206)] == ["org/es/", "example.net/de/8", "net/de/", None]
-    assert got[100].verdict == "block" and got[5].verdict == "allow"
+    assert [got[i].rule for i in (203, 204, 205, 206, 207)] == ["org/es/", "example.net/de/8", "net/de/", None, "org/es/"]
+    assert all(got[100 + i].verdict == "block" for i in range(30)) and all(got[i].verdict == "allow" for i in range(60))
+    # scores by counting: marks of the first models, then models of the even hosts' keys and the examples
+    first = [counted([(n, 1) for n in names]) for names in (urls.ACCEPTED, urls.REJECTED)]
+    keys, bad = {}, {}
+    for r in found:
+        if r.host + r.path:
+            key = re.sub("[0-9]+", "0", r.host + r.path)
+            keys.setdefault(key, [0, r.host])[0] += 1
+            keys[key][1] = min(keys[key][1], r.host)
+    for key, (n, host) in keys.items():
+        bad[key] = bool(host) and brute_ratio(host, first) > urls.MARGIN
+    fit = lambda y: [(k, n) for k, (n, host) in keys.items() if bad[k] == y and zlib.crc32(host.encode()) % 2 == 0]
+    final = [counted([(n, 1) for n in names] + fit(bool(y))) for y, names in enumerate((urls.ACCEPTED, urls.REJECTED))]
+    for i in (5, 100, 113, 202, 206, 208):
+        assert got[i].score == pytest.approx(brute_ratio(re.sub("[0-9]+", "0", got[i].host + got[i].path), final), abs=1e-9)
     assert urls.judged_table(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -181,14 +285,57 @@ def test_html():
     assert htmltext.main_text("") == "" and htmltext.main_text("<p") == "" and htmltext.main_text("<nav>a</nav>") == ""
 
 
-def test_minimum_cut():
+SOUP = """<body><div><a href=1>Home</a> <a href=2>News</a></div><div><p>{long}</p><p>Yes.</p><p>{long}</p><p>No!</p><p>{long}</p></div><div>Terms | Privacy</div></body>"""
+LONG = "A long paragraph about rivers, bridges and towns goes on for a while here. " * 3
+#: Pages marked by hand: (page, text of the article).
+MARKED = [
+    (SOUP.format(long=LONG), "\n".join([LONG.strip(), "Yes.", LONG.strip(), "No!", LONG.strip()])),
+    (f"<header><h1>Site</h1></header><main><h2>Title here</h2><p>{LONG}</p><aside>See also: others</aside><p>Short end.</p></main><section class='comments'><p>{LONG}</p></section>", f"Title here\n{LONG.strip()}\nShort end."),
+    (f"<div id=cookie-notice>We use cookies on this site.</div><article><p>{LONG}<form><input><button>Send</button> your name</form><p>Last one.</article><div class='sidebar'><p>{LONG}</p></div>", f"{LONG.strip()}\nLast one."),
+    (f"<article><header><h1>Big title</h1></header><ul><li>One thing<li>Other thing</ul><blockquote>{LONG}</blockquote><div class=ad>Buy this now</div><pre>a  b</pre></article>", f"Big title\nOne thing\nOther thing\n{LONG.strip()}\na b"),
+]
+
+
+def test_marked_pages():
+    weights = htmltext.fit_weights([p for p, _ in MARKED] * 20)
+    hits = kept = true = 0
+    for page, want in MARKED:
+        for w in (htmltext.STATED, weights):
+            got = htmltext.main_text(page, w).split("\n")
+            hits, kept, true = hits + len(set(got) & set(want.split("\n"))), kept + len(set(got)), true + len(set(want.split("\n")))
+    assert hits / kept >= 0.9 and hits / true >= 0.9
+    blocks = htmltext.blocks_of(MARKED[0][0])
+    costs = htmltext.costs_of(blocks, weights)
+    cut = htmltext.minimum_cut(costs, htmltext.edges_of(blocks))
+    assert sum((c > 0) != k for c, k in zip(costs, cut)) >= 2  # the cut changes labels
+
+
+def test_html_table(spark):
+    rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(MARKED)] + [(7, None, None), (8, "x", ""), (8, "x", ""), (None, "y", MARKED[1][0])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
+    got = htmltext.extracted_table(df).collect()
+    assert len(got) == len(rows) and {r.text for r in got if r.page_id in (7, 8)} == {""} and all(r.n_chars == len(r.text) for r in got)
+    assert [r.text for r in got if r.page_id is None] == [r.text for r in got if r.page_id == 1]
+    assert htmltext.extracted_table(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a " * 9000, "".join(f"<p>{'word ' * (1 + i % 7)}</p>" for i in range(9000)), '<a title="x>' * 4000, "<b>" * 9000 + "t" + "</i>" * 9000, "<b>" * 4000 + "<li>a" * 4000, "<button>a" * 4000, "<!--" * 9000, "<" * 9000, "".join(f"<div><p>{'w' * (1 + i * 37 % 120)}</p>x<span>y</span></div>" for i in range(6000))])
+def test_hostile_pages(page):
+    start = time.time()
+    htmltext.main_text(page)
+    assert time.time() - start < 3
+
+
+def test_minimum_cut(monkeypatch):
     r = random.Random(2)
-    for _ in range(60):
-        n = r.randint(1, 8)
-        costs = [r.uniform(-3, 3) for _ in range(n)]
-        edges = [(i, j, r.uniform(0, 1.5)) for i, j in itertools.combinations(range(n), 2) if r.random() < 0.5]
-        cost = lambda keep: sum(max(0, c) if not k else max(0, -c) for c, k in zip(costs, keep)) + sum(w for i, j, w in edges if keep[i] != keep[j])  # noqa: B023, E731
-        assert cost(htmltext.minimum_cut(costs, edges)) == pytest.approx(min(cost(k) for k in itertools.product([False, True], repeat=n)))
+    for run in (512, 0):  # by flow, and contracted first
+        monkeypatch.setattr(htmltext, "RUN", run)
+        for _ in range(80):
+            n = r.randint(1, 8)
+            costs = [r.uniform(-3, 3) for _ in range(n)]
+            edges = [(i, j, r.uniform(0, 1.5)) for i, j in itertools.combinations(range(n), 2) if r.random() < 0.5]
+            cost = lambda keep: sum(max(0, c) if not k else max(0, -c) for c, k in zip(costs, keep)) + sum(w for i, j, w in edges if keep[i] != keep[j])  # noqa: B023, E731
+            assert cost(htmltext.minimum_cut(costs, edges)) == pytest.approx(min(cost(k) for k in itertools.product([False, True], repeat=n)))
 
 
 def test_kernel_brute_force():
@@ -206,15 +353,37 @@ def test_kernel_brute_force():
     assert "idiot" in toxicity.units_of("you i d i o t!") and toxicity.units_of("") == set()
 
 
+def test_kernels_of_landmarks():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(4, 12))) for _ in range(120)]
+    marks = words[:30]
+    kernels = toxicity.Kernels(marks)
+    at, rows = kernels.of(words)
+
+    def common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    value = lambda a, b: float(toxicity._kernel(toxicity._codes([a], 12), toxicity._codes([b], 12))[0])
+    for i, row in zip(at.tolist(), rows):
+        for mark, got in zip(marks, row):
+            near = common(words[i], mark) >= max(toxicity.LENGTH, math.ceil(toxicity.NEED * len(mark) - 1e-9))
+            assert got == pytest.approx((value(words[i], mark) / math.sqrt(value(words[i], words[i]) * value(mark, mark))) ** 2 if near else 0, abs=1e-4)
+
+
 def test_toxicity_held_out():
     r = random.Random(4)
     plain = ["river", "stone", "cloudy", "tables", "greenish", "walking", "littler", "houses", "lights", "idea"]
-    make = lambda bad: ". ".join(" ".join(r.choice(plain) for _ in range(8)) + (" " + r.choice(["stupid", "idiot", "moron"]) if bad else "") for _ in range(5))
+    make = lambda bad: ". ".join(" ".join(r.choice(plain) for _ in range(8)) + (" " + r.choice(["stupid", "idiot", "moron"]) + " " + r.choice(plain) if bad else "") for _ in range(5))
     labels = [int(i % 4 == 0) for i in range(400)]
     made = [make(y) for y in labels]
-    machine = toxicity.Machine(made[:300], labels[:300])
+    machine = pickle.loads(pickle.dumps(toxicity.Machine(made[:300], labels[:300])))
     assert np.mean((machine.scores(made[300:]) >= 0.3) == np.array(labels[300:], bool)) > 0.97
-    assert machine.scores(["a walking i d i o t, st-upid and id-iot"])[0] > machine.scores(["a walking idea"])[0]
+    for text in ("a walking i d i o t", "such a stu pid stone", "you moroon", "an id-iot"):  # spaced, split, and with characters put in
+        assert machine.scores([text])[0] > machine.scores(["a walking idea"])[0], text
 
 
 def test_quality_held_out():
@@ -230,13 +399,38 @@ def test_quality_held_out():
 
 def test_raking():
     r = np.random.default_rng(1)
-    sums = r.integers(1, 1000, (4, 3, 2)).astype(float)
-    goals = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.25, 0.25]), np.array([0.6, 0.4])]
-    weights = mixing.raked(sums, goals)
+    sums = r.integers(500, 1000, (4, 3, 2)).astype(float)
+    goals = [np.array([0.2, 0.2, 0.3, 0.3]), np.array([0.4, 0.3, 0.3]), np.array([0.6, 0.4])]
+    budget = 0.4 * sums.sum()
+    expected = mixing.raked(sums, goals, budget)
+    assert (expected <= sums + 1e-9).all()
     for axis, goal in enumerate(goals):
-        assert (weights * sums).sum(axis=tuple(a for a in range(3) if a != axis)) == pytest.approx(goal, abs=1e-8)
-    chance = mixing.probabilities(sums, weights, 0.4 * sums.sum())
-    assert (chance * sums).sum() == pytest.approx(0.4 * sums.sum()) and chance.max() <= 1
+        assert expected.sum(axis=tuple(a for a in range(3) if a != axis)) == pytest.approx(goal * budget, rel=1e-6)
+    sums[0] /= 50  # a source that holds less than its target gives all it has, the rest falls on the others
+    expected = mixing.raked(sums, goals, 0.4 * sums.sum())
+    rest = (0.4 * sums.sum() - sums[0].sum()) / 0.8
+    assert expected[0] == pytest.approx(sums[0]) and expected.sum(axis=(1, 2))[1:] == pytest.approx(goals[0][1:] * rest, rel=1e-3)
+
+
+def test_mixing_by_brute_force(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(1, 60))), r.choice(["en", "de", None]), r.choice(["src0", "src1", "else"]), 0, 0, "k") for i in range(300)]
+    mixed = mixing.mixed_table(spark.createDataFrame(rows, DOCS), *TOKENS, sources={"src0": 0.2, "src1": 0.5}, languages={"en": 0.5, "de": 0.3})
+    got = {x.row.doc_id: x.mix for x in mixed.collect()}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(TOKENS[0]), special_tokens={})
+    cells = {}
+    for i, text, lang, source, *_ in rows:
+        m = got[i]
+        assert m.tokens == len(library.encode_ordinary(text)) and m.source == (source if source != "else" else "other") and m.lang == (lang or "other")
+        assert m.kept or m.probability < 1
+        cells.setdefault((m.source, m.lang, m.topic), []).append(m)
+    expected = {c: sum(m.tokens for m in ms) * ms[0].probability for c, ms in cells.items()}
+    assert all(len({m.probability for m in ms}) == 1 for ms in cells.values())
+    total = sum(m.tokens for m in got.values())
+    for axis, goal in ((0, {"src0": 0.2, "src1": 0.5, "other": 0.3}), (1, {"en": 0.5, "de": 0.3, "other": 0.2})):
+        for c, share in goal.items():
+            assert sum(x for k, x in expected.items() if k[axis] == c) == pytest.approx(share * 0.5 * total, rel=0.1)
+    assert len({m.topic for m in got.values()}) > 1 and 0.3 < sum(m.tokens for m in got.values() if m.kept) / total < 0.7
 
 
 def test_pipeline(spark):
@@ -280,6 +474,9 @@ def test_near_duplicates_stage(spark):
             for k in range(edits):
                 w[10 + 25 * k + r.randint(0, 9)] = f"e{g}x{edits}x{k}"
             rows.append((1000 * g + edits, " ".join(w)))
+    odd = [(5, "a b c d e f g"), (5, "z y x w v u t"), (3, "z y x w v u t"), (5, "a b c d e f g"), (7, ""), (7, None), (None, "z y x w v u t"), (None, None)]
+    left = corpus_pipeline.near_duplicates_stage(spark, table(spark, odd).withColumn("hash", F.lit(1)).withColumn("turn", F.lit(2)), "")
+    assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == [(0, ""), (0, "z y x w v u t"), (3, "z y x w v u t"), (5, "a b c d e f g"), (7, "")] and left.columns[-2:] == ["hash", "turn"]
     want = brute_kept(rows, 80, 5)
     assert want != brute_kept(rows, 90, 3)
     assert {x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, table(spark, rows), "").collect()} == want
@@ -299,3 +496,14 @@ def test_fingerprints_of_long_near_copies():
             dice = 2 * len(a & b) / (len(a) + len(b))
             assert fingerprint.likeness(one, copy) == pytest.approx(dice, abs=0.15) and fingerprint.likeness(one, copy) > least
             assert fingerprint.likeness(one, other) < 0.1
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df = table(spark, ODD).withColumn("score", F.lit(1)).withColumn("mix", F.lit("m"))
+    for rows in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == df.columns and out.count() <= rows.count(), name
