@@ -206,6 +206,15 @@ def test_count_tree():
     found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     want = {(a, b) for a, b in itertools.combinations(range(90), 2) if jaccard.linked(sets[a], sets[b], 70)}
     assert want and want <= found
+    owners = np.arange(90) // 6 * 2 + np.arange(90) % 2  # two components of each base's sets
+    i, j, _ = jaccard.bounded_pairs([jaccard.point_of(s) for s in sets], sizes, 70, owners)
+    across = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    assert {(a, b) for a, b in want if owners[a] != owners[b]} <= across <= {(a, b) for a, b in found if owners[a] != owners[b]}
+    rows = [(0, k, int(owners[k]), int(sizes[k]), jaccard.point_of(s), 5, [1, 2] if k % 3 else [9]) for k, s in enumerate(sets)]
+    nearest = jaccard._nearest_in_cell(rows, 70)
+    assert len(nearest) <= 90 and {x for p in nearest for x in p} == {x for p in across for x in p} and {(v, u) for u, v in nearest} <= across
+    kept = {(v, u) for u, v in jaccard._pairs_in_cell(rows, 70)}
+    assert kept == {(a, b) for a, b in across if not (a % 3 and b % 3)}  # the others meet at the lesser key 1
     assert [len(s) for s in shingle_sets([b"a b c d", b"A B", b"a b", b""])] == [2, 1, 1, 0]
 
 

@@ -18,8 +18,12 @@ for each such shingle, and no pair is missed:
    or ``HELD`` shingles is dealt into parts by hash. In a part the tree's pairs are verified at once, and a pair whose classes are already
    connected is skipped. The links' components are found by large-star and small-star rounds.
 2. All shingles of the prefixes make cells; those whose classes are all in one component by now are
-   done. Of the others the tree gives all pairs across components, in cells over ``CELL`` classes for each pair of
-   parts, within bands of set size. They are verified, and components are found again.
+   done. In parts of the others, the cells of each class's ``NEAREST`` least open shingles, the tree gives each class its likeliest partner in
+   another component, so no more pairs than classes. They are verified, and components are found again: so members of a group of near copies that the
+   first pass missed join it by one link each, not by all of theirs.
+3. Of the cells that are still open the tree gives all pairs across components, in cells over ``CELL`` classes for each pair of
+   parts, within bands of set size; a pair only in the first of its cells, as far as the ``HEAD`` least open shingles of its classes tell.
+   They are verified, and components are found again.
 
 So a group of near copies costs a few passes over its members, while links between different texts are all
 tested unless their ends are connected already; components are exact. With ``count_links`` the first pass is left out and no pair is skipped, so every link between
@@ -44,7 +48,7 @@ from tidelog.llm.saved import Scratch
 from tidelog.llm.shingles import shingle_sets
 from tidelog.llm.skew import looked_up
 
-GROUPS, LEAF, CELL, FIRST = 64, 16, 512, 2
+GROUPS, LEAF, CELL, FIRST, NEAREST, HEAD = 64, 16, 512, 2, 4, 16
 #: Shingles of all classes of a part of a cell together, about, where sets are held.
 HELD = 1 << 19
 #: Buckets of shingles whose documents are counted, and buckets in a block; the counts take some 4 MB whatever the input.
@@ -72,18 +76,20 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(counts.reshape(groups, -1).sum(axis=1), UNBOUND).astype(np.int32)
 
 
-def bounded_pairs(points: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of places that the tree leaves and that the bound at the pair's own resolution leaves too."""
+def bounded_pairs(points: list[bytes], sizes: np.ndarray, percent: int, owners: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places, of different ``owners`` if these are given, that the tree leaves and that the bound at the pair's own resolution leaves too."""
     if len(points) <= LEAF:  # a tree of one leaf
         i, j = np.triu_indices(len(points), 1)
         near = (sizes[i] * 100 >= percent * sizes[j]) & (sizes[j] * 100 >= percent * sizes[i])
+        if owners is not None:
+            near &= owners[i] != owners[j]
         if not near.any():
             return (np.zeros(0, np.int64),) * 3
         i, j = i[near], j[near]
         counts = [counts_of(p) for p in points]
     else:
         counts = [counts_of(p) for p in points]
-        i, j, _ = CountTree(np.stack([folded(c, GROUPS) for c in counts]), sizes).pairs(percent)
+        i, j, _ = CountTree(np.stack([folded(c, GROUPS) for c in counts]), sizes, owners).pairs(percent)
     if not len(i):
         return i, j, i
     widths = np.array([len(c) for c in counts])
@@ -119,10 +125,12 @@ def _buckets(shingles: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """An R-tree packed over points and set sizes."""
+    """An R-tree packed over points and set sizes; pairs of one owner are left out."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, owners: np.ndarray | None = None):
         self.points = points
+        self.owners = np.arange(len(sizes)) if owners is None else owners
+        self.single = owners is None
         self.sizes = sizes.astype(np.int64)
         self.order = np.arange(len(sizes))
         self.kids: list[tuple] = []  # start, stop, left, right
@@ -130,6 +138,8 @@ class CountTree:
         self.high = np.stack([self.points[self.order[a:b]].max(axis=0) for a, b, *_ in self.kids])
         self.least = np.array([self.sizes[self.order[a:b]].min() for a, b, *_ in self.kids])
         self.most = np.array([self.sizes[self.order[a:b]].max() for a, b, *_ in self.kids])
+        self.first = np.array([self.owners[self.order[a:b]].min() for a, b, *_ in self.kids])
+        self.last = np.array([self.owners[self.order[a:b]].max() for a, b, *_ in self.kids])
 
     def _pack(self, start: int, stop: int) -> int:
         me = len(self.kids)
@@ -153,14 +163,18 @@ class CountTree:
             # overlap needed by the smallest sizes, and sizes that the threshold keeps together
             fits = np.minimum(self.high[i], self.high[j]).sum(axis=1) * (100 + percent) >= percent * (self.least[i] + self.least[j])
             fits &= (self.most[i] * 100 >= percent * self.least[j]) & (self.most[j] * 100 >= percent * self.least[i])
+            fits &= np.minimum(self.first[i], self.first[j]) < np.maximum(self.last[i], self.last[j])
             following = []
             for a, b in now[fits].tolist():
                 (sa, ea, la, ra), (sb, eb, lb, rb) = self.kids[a], self.kids[b]
                 if la < 0 and lb < 0:
                     x, y = np.meshgrid(self.order[sa:ea], self.order[sb:eb], indexing="ij")
                     x, y = (x[np.triu_indices(ea - sa, 1)], y[np.triu_indices(ea - sa, 1)]) if a == b else (x.reshape(-1), y.reshape(-1))
-                    firsts.append(x)
-                    seconds.append(y)
+                    if not self.single:
+                        apart = self.owners[x] != self.owners[y]
+                        x, y = x[apart], y[apart]
+                    firsts.append(x.reshape(-1))
+                    seconds.append(y.reshape(-1))
                 elif a == b:
                     following += [(la, la), (la, ra), (ra, ra)]
                 elif lb < 0 or la >= 0 and ea - sa >= eb - sb:
@@ -236,12 +250,32 @@ def _links_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
     return [(rows[x][1], rows[find(x)][1]) for x in range(len(rows)) if find(x) != x]
 
 
+def _apart(rows: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and bounds of the pairs of different components among rows (cell, class, component, size, point, ..)."""
+    owners = np.array([r[2] for r in rows], np.int64)
+    if owners.min() == owners.max():
+        return (np.zeros(0, np.int64),) * 3
+    return bounded_pairs([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), percent, owners)
+
+
+def _nearest_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
+    """Each class with its likeliest partner in another component, the least one of equals: no more pairs than classes."""
+    i, j, bound = _apart(rows, percent)
+    best: dict[int, tuple] = {}
+    for a, b, share in zip(i.tolist(), j.tolist(), (bound / (np.array([r[3] for r in rows])[i] + np.array([r[3] for r in rows])[j])).tolist()):
+        for x, y in ((a, b), (b, a)):
+            offer = (-share, rows[y][1])
+            if x not in best or offer < best[x]:
+                best[x] = offer
+    return sorted({(max(rows[x][1], c), min(rows[x][1], c)) for x, (_, c) in best.items()})
+
+
 def _pairs_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
-    """Of (cell, class, component, size, point): pairs of classes of different components."""
-    if len({r[2] for r in rows}) < 2:
-        return []
-    i, j, _ = bounded_pairs([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), percent)
-    return [(max(rows[a][1], rows[b][1]), min(rows[a][1], rows[b][1])) for a, b in zip(i.tolist(), j.tolist()) if rows[a][2] != rows[b][2]]
+    """Of (cell, class, component, size, point, key, head): pairs of classes of different components. A pair whose heads share
+    a lesser key than this cell's is left to that key's cell, which holds both."""
+    i, j, _ = _apart(rows, percent)
+    lesser: dict[int, frozenset] = {x: frozenset(k for k in rows[x][6] if k < rows[x][5]) for x in {*i.tolist(), *j.tolist()}}
+    return [(max(rows[a][1], rows[b][1]), min(rows[a][1], rows[b][1])) for a, b in zip(i.tolist(), j.tolist()) if lesser[a].isdisjoint(lesser[b])]
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -335,24 +369,56 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         edges = scratch.save(_mapped(members.repartition("cell").sortWithinPartitions("cell"), _links_in_cell, percent).distinct())
         joined = components(edges, scratch)
 
-    named = classes.join(joined.select(F.col("u").alias("class"), F.col("v").alias("component")), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    wide = named.select("class", "component", "n", F.explode("prefix").alias("key"))
-    mixed = wide.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = mixed.filter(f"low <> high AND (size > 2 OR least * 100 >= most * {percent})").select("key", "size")
-    held = wide.join(mixed, "key").select("key", "size", "class", "n")
-    crossed = _crossed(held, percent).join(named.select("class", "component", "n", "point"), "class")
-    open_pairs = _mapped(crossed.select("cell", "class", "component", "n", "point").repartition("cell").sortWithinPartitions("cell"), _pairs_in_cell, percent)
-    pairs = scratch.save(open_pairs.distinct())
-    more = None
-    if not pairs.isEmpty():
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs of classes."""
         ends = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
         sets = scratch.save(sets_of(ends.withColumn("cell", F.lit(0).cast("long"))).drop("cell").dropDuplicates(["class"]))
         near = scratch.save(_tested(_with_ends(pairs, sets, "point"), _bounded, percent))  # points are a sixteenth of sets
-        more = scratch.save(_tested(_with_ends(near, sets, "shingles"), _linked, percent))
+        links = scratch.save(_tested(_with_ends(near, sets, "shingles"), _linked, percent))
         scratch.drop(sets, near)
+        return links
+
+    def named(rows: DataFrame) -> DataFrame:
+        """``rows`` with the component that their class is in by now."""
+        own = joined.select(F.col("u").alias("class"), F.col("v").alias("component"))
+        return rows.join(own, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+    def open_cells(members: DataFrame) -> DataFrame:
+        """(key, size, class, n) of ``members`` (key, class, n, component) in cells of several components."""
+        cells = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+        cells = cells.filter(f"low <> high AND (size > 2 OR least * 100 >= most * {percent})").select("key", "size")
+        return members.join(cells, "key").select("key", "size", "class", "n")
+
+    def cells_of(rows: DataFrame, work: Callable) -> DataFrame:
+        """The distinct pairs that ``work`` finds in the cells of ``rows``."""
+        pairs = scratch.save(_mapped(rows.repartition("cell").sortWithinPartitions("cell"), work, percent).distinct())
+        made.append(pairs)
+        return pairs
+
+    held = scratch.save(open_cells(named(classes.select("class", "n", "prefix")).select("class", "component", "n", F.explode("prefix").alias("key"))))
+    heads = scratch.save(held.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEAD).alias("head")))
+    made += [held, heads]
+    if not count_links:
+        few = heads.select("class", F.explode(F.slice("head", 1, NEAREST)).alias("key")).join(classes.select("class", "n"), "class")
+        sizes = few.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.lit(0)).alias("all"))
+        near = named(in_parts(few, sizes).select("cell", "class", "n")).join(classes.select("class", "point"), "class")
+        pairs = cells_of(near.select("cell", "class", "component", "n", "point"), _nearest_in_cell)
+        if not pairs.isEmpty():
+            links = verified(pairs)
+            if not links.isEmpty():
+                made += [edges, joined, links]
+                edges = scratch.save(edges.union(links))
+                joined = components(edges, scratch)
+                held = scratch.save(open_cells(named(held.select("key", "class", "n"))))
+                made.append(held)
+    crossed = named(_crossed(held, percent)).join(classes.select("class", "n", "point"), "class").join(heads, "class")
+    pairs = cells_of(crossed.select("cell", "class", "component", "n", "point", "key", "head"), _pairs_in_cell)
+    more = None
+    if not pairs.isEmpty():
+        more = verified(pairs)
         if not more.isEmpty():
+            made.append(joined)
             joined = components(edges.union(more), scratch)
-    scratch.drop(pairs)
 
     lowest = scratch.save(classes.join(joined.withColumnRenamed("u", "class"), "class", "left").select("class", "doc_id", "held", F.coalesce("v", "class").alias("root")))
     roots = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
@@ -362,7 +428,7 @@ def joined_table(df: DataFrame, percent: int = 90, words: int = 3, id_col: str =
         ends = ways.union(ways.select("v", "u")).join(lowest.select(F.col("class").alias("v"), "held"), "v").groupBy("u").agg(F.sum("held").alias("others"))
         found = found.join(ends.withColumnRenamed("u", "class"), "class", "left").withColumn("n_links", F.col("held") - 1 + F.coalesce("others", F.lit(0)))
     found = scratch.save(found)
-    scratch.drop(classes, edges, lowest, *made, *([joined] if joined is not edges else []), *([more] if more is not None else []))
+    scratch.drop(*{t._tidelog_path: t for t in (classes, edges, joined, lowest, *made, *([more] if more is not None else []))}.values())
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = [F.col("n").alias("n_shingles"), component.alias("component_id")]
     if count_links:
@@ -380,7 +446,7 @@ def _crossed(held: DataFrame, percent: int) -> DataFrame:
     dealt = banded.join(counts, ["key", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    return dealt.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class")
+    return dealt.select(F.xxhash64("key", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class", "key")
 
 
 def _with_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
