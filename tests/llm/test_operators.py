@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, chat, fingerprint, htmltext, jaccard, mixing, quality, skew, telephony, toxicity, urls
-from tidelog.llm.shingles import shingle_sets
+from tidelog.llm.shingles import shingle_sets, word_hashes
 
 TOKENS = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, `key` string"
@@ -442,6 +442,54 @@ def test_mixing_by_brute_force(spark):
     assert len({m.topic for m in got.values()}) > 1 and 0.3 < sum(m.tokens for m in got.values() if m.kept) / total < 0.7
 
 
+THEMES = [[f"{a}{b}{i}" for b in ("ra", "to", "mi", "su", "pe", "lo")] for i, a in enumerate(("b", "c", "d", "f", "g", "h", "k", "z"))]
+
+
+def themed(spark):
+    """(rows, the theme of each id): 3100 texts of seven themes, and 31 of an eighth whose hashes are higher than 3000 of the others'."""
+    r = random.Random(5)
+
+    def made(i):
+        return " ".join(r.choice(THEMES[i]) for _ in range(r.randint(25, 35)))
+
+    usual = {made(i % 7): i % 7 for i in range(3100)}
+    ranked = spark.createDataFrame([(t,) for t in [*usual, *(made(7) for _ in range(3000))]], "text string").select("text", F.xxhash64("text", F.lit(17)).alias("hash")).collect()
+    above = sorted(x.hash for x in ranked if x.text in usual)[2999]
+    rare = [x.text for x in ranked if x.text not in usual and x.hash > above][:31]
+    assert len(usual) == 3100 and len(rare) == 31
+    both = [*usual.items(), *((t, 7) for t in rare)]
+    return [(i, t) for i, (t, _) in enumerate(both)], [k for _, k in both]
+
+
+def test_topics_from_all_texts(spark):
+    rows, themes = themed(spark)
+    df = table(spark, [*rows, *[(9000 + i, rows[0][1]) for i in range(20)], (9999, "")])
+    got = {x.row.doc_id: x.mix.topic for x in mixing.mixed_table(df, *TOKENS).collect()}
+    pairs = {(k, got[i]) for i, k in enumerate(themes)}
+    assert len(pairs) == 8 and (7, "t7") in pairs  # a topic a theme, the least one last
+    counted = df.select(F.xxhash64("text").alias("hash"), mixing.features(df, *TOKENS).alias("f")).select("hash", "f.terms", "f.counts").distinct()
+    one, other = mixing.fit_topics(counted), mixing.fit_topics(counted.repartition(7, "hash"))
+    assert all(np.array_equal(a, b) for a, b in zip(one, other))
+    distinct = [*(t for _, t in rows), ""]  # repeated texts count once
+    have = np.zeros(mixing.TERMS)
+    for t in distinct:
+        have[sorted({int(h) >> 54 for h in word_hashes([t.encode()])[0]})] += 1
+    assert one[0] == pytest.approx(np.log((len(distinct) + 1) / (have + 1)) + 0.1)
+
+
+def test_term_counts_are_whole():
+    texts_ = ["", "a " * 70_000 + "b " * 64 + "c " * 63 + "d", " \n", "B b"]
+    terms, counts = mixing.term_counts(texts_)
+    weights = np.linspace(0.5, 2, mixing.TERMS)
+    got = mixing.term_vectors(terms.slice(1), counts.slice(1), mixing.damped(weights), np.ones((4, mixing.TERMS)))
+    for row, text in zip(got, texts_[1:]):
+        want = np.zeros(mixing.TERMS)
+        for h in word_hashes([text.encode()])[0].tolist():
+            want[h >> 54] += 1
+        want = np.log1p(want) * weights
+        assert row == pytest.approx(np.rint(want / max(np.linalg.norm(want), 1e-9) * mixing.UNIT), abs=1)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -7,8 +7,10 @@ that holds less than its target gives all it has, and the rest falls on the othe
 ``reached`` reports every category's target and its share of the sample. A document's draw is a hash of its id, text and the seed, so it is reproducible.
 
 Topics are clusters of documents by their terms: words are hashed to ``TERMS`` buckets, counts are damped and weighted by inverse document
-frequency, and a text belongs to the nearest of ``TOPIC_COUNT`` centres by cosine. The centres are fitted by spherical
-k-means on at most ``SAMPLE`` texts (those of lowest hash, within ``samples.SAMPLE_CHARS`` characters); all documents are assigned and counted, whole.
+frequency, and a text belongs to the nearest of ``TOPIC_COUNT`` centres by cosine. Frequencies and centres come from every distinct text of the
+table, whole: terms are counted once and saved, and each step of spherical k-means (a centre begun at the text that is least like those before, then at
+most ``STEPS`` rounds) reads these counts in one job that gives the driver sums only. Vectors are whole numbers whose sums and products are
+exact, so the centres depend neither on partitions nor on the order of rows.
 
 Targets are mappings from category to share; categories that a mapping doesn't name are raked together
 as ``other``, so there are at most as many cells as the product of the mappings' sizes, however many
@@ -23,6 +25,8 @@ in ``row``, so none clashes.
 from __future__ import annotations
 
 import hashlib
+import pickle
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -33,7 +37,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm import samples
 from tidelog.llm.bpe import ranks_of
 from tidelog.llm.common import release, steps
 from tidelog.llm.saved import Scratch
@@ -41,7 +44,10 @@ from tidelog.llm.shingles import word_hashes
 
 OTHER = "other"
 SEED, ROUNDS, TOLERANCE = 23, 500, 1e-10
-TERMS, TOPIC_COUNT, SAMPLE = 1024, 8, 3000
+TERMS, TOPIC_COUNT, STEPS = 1024, 8, 30
+#: The largest count that an entry of 16 bits holds beside its term, and the length of a vector: sums of 2 ** 33 texts are exact.
+SHORT, UNIT = 63, 1 << 20
+BLOCK = 128  # rows of a step
 #: Target shares of the query: the largest source is to shrink to a fifth. Topics have no names that a target could be set for, so by
 #: default their shares of all tokens are raised to ``TEMPER`` and made to sum to 1: frequent ones shrink, rare ones grow.
 SOURCES = {"src0": 0.2} | {f"src{i}": 0.04 for i in range(1, 20)}
@@ -49,75 +55,187 @@ LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TEMPER = 0.7
 #: Expected share of all tokens to keep.
 KEEP = 0.5
-FEATURES = "struct<tokens: bigint, topic: string>"
+FEATURES = "struct<tokens: bigint, terms: binary, counts: binary>"
 
 
 _LIBRARY: dict[str, tiktoken.Encoding] = {}
 
 
-def term_vectors(texts: list[str], weights: np.ndarray | None = None) -> np.ndarray:
-    """Unit vectors of damped term counts, a row a text; of texts without words all 0."""
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose rows hold ``sizes`` values each."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values.itemsize, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a binary column, in order, and each row's number of them."""
+    data = column.buffers()[2]
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None and data.size else np.zeros(0, kind)
+    return values, np.diff(ends) // np.dtype(kind).itemsize
+
+
+def term_counts(texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Each text's terms with their counts, 16 bits a term: its bucket and, times ``TERMS``, its count. A count over
+    ``SHORT`` is 0 there and stands in the second column, 32 bits each."""
     hashes, begins = word_hashes([t.encode() for t in texts])
     own = np.repeat(np.arange(len(texts)), np.diff(begins))
-    out = np.bincount(own * TERMS + (hashes >> np.uint64(54)).astype(np.int64), minlength=len(texts) * TERMS).reshape(len(texts), TERMS)
-    out = np.log1p(out).astype(np.float32)
-    if weights is not None:
-        out *= weights
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def fit_topics(texts: list[str], _labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term weights and centres, in order of their size in the sample."""
-    plain = np.vstack([term_vectors(texts[i : i + 256]) for i in range(0, len(texts), 256)])
-    weights = np.log((len(texts) + 1) / ((plain > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
-    x = plain * weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    chosen = [0]
-    for _ in range(min(TOPIC_COUNT, len(x)) - 1):  # the text that is least like any centre so far
-        chosen.append(int(np.argmin((x @ x[chosen].T).max(axis=1))))
-    centres = x[chosen]
-    for _ in range(30):
-        near = np.argmax(x @ centres.T, axis=1)
-        new = np.stack([x[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
-        if np.allclose(new, centres, atol=1e-6):
-            break
+    counts = np.bincount(own * TERMS + (hashes >> np.uint64(54)).astype(np.int64), minlength=len(texts) * TERMS)
+    at = np.flatnonzero(counts)
+    counts, rows, long = counts[at], at // TERMS, counts[at] > SHORT
+    entries = (at % TERMS + TERMS * np.where(long, 0, counts)).astype("<u2")
+    return packed(entries, np.bincount(rows, minlength=len(texts))), packed(counts[long].astype("<u4"), np.bincount(rows[long], minlength=len(texts)))
+
+
+def damped(weights: np.ndarray) -> np.ndarray:
+    """What each entry of 16 bits counts; one without its count, the weight of its term."""
+    return np.vstack([weights, np.outer(np.log1p(np.arange(1, SHORT + 1)), weights)]).ravel()
+
+
+def term_vectors(terms: pa.Array, counts: pa.Array, worth: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Unit vectors of damped, weighted counts in whole parts of ``UNIT``, a row a text, in ``room``; of texts without words all 0."""
+    entries, sizes = unpacked(terms, "<u2")
+    values = worth.take(entries)
+    long = np.flatnonzero(entries < TERMS)
+    if len(long):
+        values[long] *= np.log1p(unpacked(counts, "<u4")[0])
+    at = np.repeat(np.arange(len(sizes)) * TERMS, sizes) + entries % TERMS
+    norms = np.sqrt(np.bincount(at // TERMS, values * values, len(sizes)))
+    out = room[: len(sizes)]
+    out.fill(0)
+    out.reshape(-1)[at] = np.rint(values * np.repeat(UNIT / np.maximum(norms, 1e-9), sizes))
+    return out
+
+
+def blocks(*columns: pa.Array) -> Iterator[list[pa.Array]]:
+    for at in range(0, len(columns[0]), BLOCK):
+        yield [c.slice(at, BLOCK) for c in columns]
+
+
+def of_tasks(vectors: DataFrame, work: Callable[[Iterator[list[pa.Array]]], object]) -> list:
+    """What ``work`` makes of the rows of each task, a task a core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pickle.dumps(work(b for batch in batches for b in blocks(*batch.columns)))
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
+
+    tasks = vectors.coalesce(vectors.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "part binary")
+    return [pickle.loads(bytes(r.part)) for r in tasks.collect()]  # a row a task, of the model's size
+
+
+def term_weights(vectors: DataFrame) -> np.ndarray:
+    """The terms' inverse document frequencies over all rows."""
+
+    def work(rows: Iterator[list[pa.Array]]) -> tuple[int, np.ndarray]:
+        n, have = 0, np.zeros(TERMS, np.int64)
+        for _, terms, _ in rows:
+            n += len(terms)
+            have += np.bincount(unpacked(terms, "<u2")[0] % TERMS, minlength=TERMS)
+        return n, have
+
+    parts = of_tasks(vectors, work)
+    return np.log((sum(n for n, _ in parts) + 1) / (sum((have for _, have in parts), np.zeros(TERMS)) + 1)) + 0.1
+
+
+def worded(terms: pa.Array) -> np.ndarray:
+    """1 for each text with words, 0 for others."""
+    return np.sign(pc.binary_length(terms).to_numpy(zero_copy_only=False)).astype(float)
+
+
+def least_like(vectors: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray | None:
+    """Of all texts with words the vector that is least like any centre, of several the one of least hash."""
+
+    def work(rows: Iterator[list[pa.Array]]) -> tuple | None:
+        best, room = None, np.zeros((BLOCK, TERMS))
+        for hashes, terms, counts in rows:
+            x = term_vectors(terms, counts, worth, room)
+            like = (x @ centres.T).max(axis=1, initial=0)
+            like[worded(terms) == 0] = np.inf
+            if np.isinf(like.min()):
+                continue
+            _, i = min((hashes[i].as_py(), i) for i in np.flatnonzero(like == like.min()).tolist())
+            own = (like[i], hashes[i].as_py(), x[i].tolist())
+            best = own if best is None else min(best, own)
+        return best
+
+    found = [p for p in of_tasks(vectors, work) if p is not None]
+    return np.array(min(found)[2]) if found else None
+
+
+def nearest_sums(vectors: DataFrame, worth: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each centre the sum and the number of all vectors that it is nearest to."""
+
+    def work(rows: Iterator[list[pa.Array]]) -> tuple[np.ndarray, np.ndarray]:
+        sums, sizes, room = np.zeros(centres.shape), np.zeros(len(centres)), np.zeros((BLOCK, TERMS))
+        for _, terms, counts in rows:
+            x = term_vectors(terms, counts, worth, room)
+            near = np.eye(len(centres))[np.argmax(x @ centres.T, axis=1)]
+            sums += near.T @ x
+            sizes += worded(terms) @ near
+        return sums, sizes
+
+    parts = of_tasks(vectors, work)
+    return sum(p[0] for p in parts), sum(p[1] for p in parts)
+
+
+def fit_topics(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Term weights and centres, in order of their size, from all rows (hash, terms, counts); None if no text has words."""
+    weights, centres = term_weights(vectors), np.zeros((0, TERMS))
+    worth = damped(weights)
+    for _ in range(TOPIC_COUNT):
+        far = least_like(vectors, worth, centres)
+        if far is None:
+            return None
+        centres = np.vstack([centres, far])
+    for _ in range(STEPS):
+        sums, sizes = nearest_sums(vectors, worth, centres)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        new = np.where(norms > 0, np.rint(sums * (UNIT / np.maximum(norms, 1e-9))), centres)
+        done = np.allclose(new / UNIT, centres / UNIT, atol=1e-6)
         centres = new
-    sizes = np.bincount(np.argmax(x @ centres.T, axis=1), minlength=len(centres))
+        if done:
+            break
     return weights, centres[np.argsort(-sizes, kind="stable")]
 
 
-def topics_of(texts: list[str], model: tuple[np.ndarray, np.ndarray] | None) -> list[str]:
+def topic_of(terms: Column, counts: Column, model: tuple[np.ndarray, np.ndarray] | None) -> Column:
     """The nearest centre's name; ``t0`` for texts without words."""
     if model is None:
-        return ["t0"] * len(texts)
-    out: list[str] = []
-    for at in range(0, len(texts), 256):
-        out += [f"t{k}" for k in np.argmax(term_vectors(texts[at : at + 256], model[0]) @ model[1].T, axis=1).tolist()]
-    return out
+        return F.lit("t0")
+
+    @F.arrow_udf("string")
+    def named(terms: pa.Array, counts: pa.Array) -> pa.Array:
+        worth, room = damped(model[0]), np.zeros((BLOCK, TERMS))
+        near = [np.argmax(term_vectors(*b, worth, room) @ model[1].T, axis=1) for b in blocks(terms, counts)]
+        release()
+        return pa.array([f"t{k}" for ks in near for k in ks.tolist()], pa.string())
+
+    return named(terms, counts)
 
 
 def features(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> Column:
-    """A column of each text's number of tokens and topic."""
-    spark = df.sparkSession
+    """A column of each text's number of tokens and its terms."""
     ranks = ranks_of(vocabulary)
     name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    held = spark.sparkContext.broadcast((ranks, samples.fitted(samples.lowest(F.col(f"`{text_col}`"), df, SAMPLE), fit_topics)))
+    held = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf(FEATURES)
     def counted(column: pa.Array) -> pa.Array:
         if name not in _LIBRARY:  # a worker's own, made once
             _LIBRARY.clear()
-            _LIBRARY[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=held.value[0], special_tokens={})
+            _LIBRARY[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=held.value, special_tokens={})
         tokens: list[int] = []
-        topics: list[str] = []
+        parts = [term_counts([])]
         batch = pa.RecordBatch.from_arrays([pc.fill_null(column, "")], names=["text"])
         for part in steps(iter([batch]), "text", 2 << 20):
-            own = part.column(0).to_pylist()
-            tokens += [len(_LIBRARY[name].encode_ordinary(t)) for t in own]
-            topics += topics_of(own, held.value[1])
+            for (few,) in blocks(part.column(0)):
+                own = few.to_pylist()
+                tokens += [len(_LIBRARY[name].encode_ordinary(t)) for t in own]
+                parts.append(term_counts(own))
         release()
-        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(topics, pa.string())], names=["tokens", "topic"])
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), *(pa.concat_arrays(p) for p in zip(*parts))], names=["tokens", "terms", "counts"])
 
     return counted(F.col(f"`{text_col}`").cast("string"))
 
@@ -154,7 +272,13 @@ def raked(sums: np.ndarray, targets: list[np.ndarray], budget: float) -> np.ndar
 def mixed_table(df: DataFrame, vocabulary: str, pattern: str, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict | None = None, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """Two structs: ``row``, all columns of ``df``, and ``mix``: source, lang and topic class, tokens,
     weight (of a token of its cell, 1 on average), probability and kept."""
-    held = Scratch(df.sparkSession, "mixing").save(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), features(df, vocabulary, pattern).alias("f")))
+    scratch = Scratch(df.sparkSession, "mixing")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(17))
+    counted = scratch.save(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), features(df, vocabulary, pattern).alias("f"), text.alias("hash")))
+    vectors = scratch.save(counted.select("hash", "f.terms", "f.counts").distinct())
+    model = fit_topics(vectors)
+    scratch.drop(vectors)
+    held = counted.select("row", F.struct("f.tokens", topic_of(F.col("f.terms"), F.col("f.counts"), model).alias("topic")).alias("f"))
     own_topics = dict.fromkeys(f"t{i}" for i in range(TOPIC_COUNT)) if topics is None else topics
     cell = [class_of(F.col("row.source"), sources), class_of(F.col("row.lang"), languages), class_of(F.col("f.topic"), own_topics)]
     rows = held.groupBy(cell[0].alias("s"), cell[1].alias("l"), cell[2].alias("t")).agg(F.sum("f.tokens").alias("n")).collect()  # at most a row a cell
