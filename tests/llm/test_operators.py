@@ -505,6 +505,15 @@ def test_pipeline(spark):
     assert last.count() == before.count() and last.agg(F.sum("n_tokens")).first()[0] > 0
 
 
+def test_pipeline_mixes_by_topics_of_all_texts(spark):
+    import corpus_pipeline
+
+    rows, themes = themed(spark)
+    kept = {x.doc_id for x in corpus_pipeline.mixing_stage(spark, table(spark, rows), "").collect()}
+    assert {i for i, k in enumerate(themes) if k == 7} <= kept  # a topic that is rare has a higher target than it holds
+    assert 0.4 < len(kept) / len(rows) < 0.6
+
+
 def brute_kept(rows, percent, words):
     """Ids that are the least of their component, all pairs tested."""
     sets, root = {}, {}

@@ -100,11 +100,13 @@ def term_vectors(terms: pa.Array, counts: pa.Array, worth: np.ndarray, room: np.
     long = np.flatnonzero(entries < TERMS)
     if len(long):
         values[long] *= np.log1p(unpacked(counts, "<u4")[0])
-    at = np.repeat(np.arange(len(sizes)) * TERMS, sizes) + entries % TERMS
-    norms = np.sqrt(np.bincount(at // TERMS, values * values, len(sizes)))
+    at = np.repeat(np.arange(len(sizes)) * TERMS, sizes)
+    at += entries & (TERMS - 1)  # a power of two
+    norms = np.sqrt(np.bincount(at >> TERMS.bit_length() - 1, values * values, len(sizes)))
     out = room[: len(sizes)]
     out.fill(0)
-    out.reshape(-1)[at] = np.rint(values * np.repeat(UNIT / np.maximum(norms, 1e-9), sizes))
+    values *= np.repeat(UNIT / np.maximum(norms, 1e-9), sizes)
+    out.reshape(-1)[at] = np.rint(values, out=values)
     return out
 
 
