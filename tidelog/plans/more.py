@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,9 +152,16 @@ def asof_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parquet_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends to a folder of Parquet tables that widen a column and add one."""
     folder, orders = _folder(spark), _table(spark, sf_dir, "orders")
-    write_output(spark, {"o": orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_custkey").cast("int").alias("c"))}, folder, "parquet")
-    write_output(spark, {"o": orders.filter("o_orderkey % 3 = 1").select("o_orderkey", F.col("o_custkey").cast("smallint").alias("c"))}, folder, "parquet", "append")
-    write_output(spark, {"o": orders.filter("o_orderkey % 3 = 2").select("o_orderkey", F.col("o_custkey").cast("long").alias("c"), "o_orderstatus")}, folder, "parquet", "append")
+
+    def narrow(rest: int, kind: str) -> Column:
+        """Rows whose customer key (or null) the type holds; the others are appended once the column is wide enough."""
+        return F.coalesce((F.col("o_orderkey") % 3 == rest) & (F.col("o_custkey").isNull() | F.col("o_custkey").try_cast(kind).isNotNull()), F.lit(False))
+
+    first, second = narrow(0, "int"), narrow(1, "smallint")
+    write_output(spark, {"o": orders.filter(first).select("o_orderkey", F.col("o_custkey").cast("int").alias("c"))}, folder, "parquet")
+    write_output(spark, {"o": orders.filter(second).select("o_orderkey", F.col("o_custkey").cast("smallint").alias("c"))}, folder, "parquet", "append")
+    last = orders.filter(~first & ~second).select("o_orderkey", F.col("o_custkey").cast("long").alias("c"), F.when(F.col("o_orderkey") % 3 == 2, F.col("o_orderstatus")).alias("o_orderstatus"))
+    write_output(spark, {"o": last}, folder, "parquet", "append")
     return open_input(spark, folder, "parquet").table("o")
 
 
