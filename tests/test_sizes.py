@@ -19,3 +19,11 @@ def test_evolution_of_wide_keys(spark, tmp_path):
     rows = [(k, c, s) for k, c, s in [(0, 7, "a"), (1, 32767, "b"), (4, 32768, "c"), (3, 2**31, "d"), (2, 5, "e"), (7, None, "f"), (-1, 9, "g")]]
     got = QUERIES["rec_parquet_evolve"](spark, write(spark, tmp_path, "orders", rows, "o_orderkey long, o_custkey long, o_orderstatus string"))
     assert {(r.o_orderkey, r.c, r.o_orderstatus) for r in got.collect()} == {(k, c, s if k == 2 else None) for k, c, s in rows} and got.schema["c"].dataType.simpleString() == "bigint"
+
+
+def test_lateral_order(spark, tmp_path):
+    write(spark, tmp_path, "customer", [(1,), (2,), (None,)], "c_custkey long")
+    write(spark, tmp_path, "orders", [(1, 1, 5.0), (None, 1, 5.0), (3, 1, 5.0), (None, 2, None), (7, 2, None), (4, None, 1.0)], "o_orderkey long, o_custkey long, o_totalprice double")
+    got = QUERIES["sql_join_lateral"](spark, str(tmp_path))
+    assert sorted(got.collect(), key=str) == [(1, 1), (1, 3), (2, 7), (2, None)]
+    assert "windowspecdefinition(o_custkey" in (plan := got._jdf.queryExecution().analyzed().toString()) and "o_totalprice" in plan.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0]

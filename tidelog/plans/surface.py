@@ -27,7 +27,11 @@ SQL: dict[str, str | tuple[str, str]] = {
     "subquery_scalar": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_orderstatus = o.o_orderstatus)",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
-    "join_lateral": ("SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",) * 2,
+    # Spark numbers the rows of a lateral ORDER BY ... LIMIT in a window without that order, in which fetched shuffle blocks fall as they come; so the window is written out
+    "join_lateral": (
+        "SELECT c.c_custkey, t.o_orderkey FROM customer c JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST) AS place FROM orders) t ON t.o_custkey = c.c_custkey AND t.place <= 2",
+        "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",
+    ),
     "agg_basic": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, min(l_shipdate) AS lo, max(l_extendedprice) AS hi, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_statistics": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS co, median(l_quantity) AS md FROM lineitem GROUP BY l_returnflag",
     "agg_by_extreme": "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest, bool_or(o_orderstatus = 'F') AS f, bool_and(o_totalprice > 1000) AS g FROM orders GROUP BY o_custkey",
