@@ -1,11 +1,11 @@
 """Queries on rows that larger tables hold: wide keys, ties and nulls, many messages a file."""
 
-from datetime import datetime
-
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidelog.operators.export import export_file
+from tidelog.sources import recording as R
+from tidelog.sources.container import Unpacker, read_summary
 
 QUERIES = __spark_entry__.queries()
 
@@ -27,3 +27,17 @@ def test_lateral_order(spark, tmp_path):
     got = QUERIES["sql_join_lateral"](spark, str(tmp_path))
     assert sorted(got.collect(), key=str) == [(1, 1), (1, 3), (2, 7), (2, None)]
     assert "windowspecdefinition(o_custkey" in (plan := got._jdf.queryExecution().analyzed().toString()) and "o_totalprice" in plan.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0]
+
+
+def test_export_file_by_tasks(spark, tmp_path):
+    rows = spark.range(60_000).repartition(7).select((F.col("id") % 30_000).alias("_log_time"), F.col("id").alias("n"), F.rpad(F.hex("id"), 60, "x").alias("s"))
+    frames = {"/own": rows.filter("n % 3 = 0").withColumn("_sequence", 90_000 - F.col("n")), "/running": rows.filter("n % 3 > 0")}
+    path = f"{tmp_path}/all.mcap"
+    stats = export_file(frames, path)
+    data = (tmp_path / "all.mcap").read_bytes()
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["all.mcap"] and stats.by_topic == {"/own": 20_000, "/running": 40_000}
+    found = list(Unpacker(data).messages())
+    order = [(m.log_time, m.channel_id, m.sequence) for m in found]
+    assert order == sorted(order) and [m.sequence for m in found if m.channel_id == 1] == list(range(40_000)) and len(read_summary(len(data), lambda at, n: data[at : at + n]).chunks) > 3
+    got = R.topic_frames(R.recording(spark, path, range_bytes=1 << 18))
+    assert got["/own"].selectExpr("sum(n + _sequence) AS a", "count(DISTINCT n, s) AS b").first() == (20_000 * 90_000, 20_000) and got["/running"].count() == 40_000

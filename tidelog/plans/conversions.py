@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.protobuf import descriptor_set
-from tidelog.operators.export import export, in_order, payloads
+from tidelog.operators.export import export_file as write_recording
+from tidelog.operators.export import in_order, payloads
 from tidelog.sources import recording as R
 from tidelog.sources.formats import open_input, write_output
 from tidelog.sources.shared import shared_folder
@@ -58,12 +59,9 @@ def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ordered recording, written and read back, all topics."""
-    path = os.path.join(_local(), "all.mcap")
-    with open(path, "wb") as out:
-        export(_topics(spark, sf_dir), out)
-    shared = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}.mcap")  # the file is this machine's
-    shared.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), shared)
-    found = R.topic_frames(R.recording(spark, shared.toString()))
+    path = f"{_shared(spark)}.mcap"
+    write_recording(_topics(spark, sf_dir), path)
+    found = R.topic_frames(R.recording(spark, path))
     return reduce(DataFrame.unionAll, (f.select("_log_time", "event_id", "user_id", "value") for f in found.values()))
 
 

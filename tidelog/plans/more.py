@@ -14,7 +14,7 @@ from tidelog.cli import counted
 from tidelog.functions.protobuf import descriptor_set
 from tidelog.operators import temporal
 from tidelog.operators.evolution import can_widen, compare_schemas
-from tidelog.operators.export import export, log_time
+from tidelog.operators.export import export_file, log_time
 from tidelog.operators.tables import TableStore
 from tidelog.plans.analyze import analyze
 from tidelog.plans.front import qualify, run_sql
@@ -37,20 +37,10 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _written(spark: SparkSession, frames: dict[str, DataFrame], encoding: str = "ros1", metadata: dict | None = None) -> str:
-    """One ordered recording in the shared folder; the driver writes it there by the file system of the session."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}.mcap")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-
-    class Pipe:
-        def write(self, part: bytes) -> None:
-            out.write(bytearray(part))
-
-        def flush(self) -> None:
-            out.flush()
-
-    export(frames, Pipe(), encoding, metadata=metadata)
-    out.close()
-    return path.toString()
+    """One ordered recording in the shared folder."""
+    path = f"{_folder(spark)}.mcap"
+    export_file(frames, path, encoding, metadata=metadata)
+    return path
 
 
 def mixed_channels(spark: SparkSession, sf_dir: str) -> DataFrame:

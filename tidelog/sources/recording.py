@@ -41,7 +41,7 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load([*paths]).select("path", "content")
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     """A file as workers open it; plain paths and ``file:`` are local or shared mounts."""
     if path.startswith("file:") or "://" not in path:
         return fs.LocalFileSystem(), unquote(re.sub("^file:/*", "/", path))
@@ -60,7 +60,7 @@ def recording(spark: SparkSession, *paths: str, topics: list[str] | None = None,
     listed = spark.read.format("binaryFile").load([*paths]).select("path", "length")  # contents aren't read
     first, total = listed.agg(F.min("path"), F.sum("length")).first()
     try:
-        openable = first is not None and _opened(first)[0] is not None
+        openable = first is not None and opened(first)[0] is not None
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         openable = False
     if not openable:
@@ -69,7 +69,7 @@ def recording(spark: SparkSession, *paths: str, topics: list[str] | None = None,
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                size, found = _summary(*_opened(path))
+                size, found = _summary(*opened(path))
                 ranges: list[list[int]] = []
                 for place, length, low, high in sorted(found.chunks if found else [(0, size, 0, 1 << 63)]):
                     if high < since or low > until:
@@ -86,7 +86,7 @@ def recording(spark: SparkSession, *paths: str, topics: list[str] | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, place, size in zip(*(c.to_pylist() for c in batch.columns)):
-                system, own = _opened(path)
+                system, own = opened(path)
                 known = _summary(system, own)[1]
                 with system.open_input_file(own) as f:
                     yield from _enveloped(Unpacker(f.read_at(size, place), wanted, since, until, known))
