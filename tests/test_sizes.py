@@ -1,11 +1,16 @@
 """Queries on rows that larger tables hold: wide keys, ties and nulls, many messages a file."""
 
+import sys
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidelog.errors import UnsupportedFormat
 from tidelog.operators.export import export_file
 from tidelog.sources import recording as R
-from tidelog.sources.container import Unpacker, read_summary
+from tidelog.sources.container import Channel, Message, Schema, Unpacker, message_records, opening, read_summary
 
 QUERIES = __spark_entry__.queries()
 
@@ -29,6 +34,26 @@ def test_lateral_order(spark, tmp_path):
     assert "windowspecdefinition(o_custkey" in (plan := got._jdf.queryExecution().analyzed().toString()) and "o_totalprice" in plan.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0]
 
 
+def test_blocks_keep_no_payloads():
+    schema, channel = Schema(1, "t/A", "ros1msg", b"int64 a"), Channel(1, 1, "/a", "ros1")
+    loose = opening([schema], [channel]) + b"".join(message_records(*(np.full(300_000, k) for k in (1, 5, 7, 7)), [b"\1" * 8] * 300_000)[1])  # no chunks
+    held = sys.getrefcount(loose)
+    blocks = [(len(heads), payloads.nbytes) for heads, payloads in Unpacker(loose).blocks()]
+    assert sum(n for n, _ in blocks) == 300_000 and len(blocks) > 2 and sys.getrefcount(loose) == held
+    with pytest.raises(UnsupportedFormat):
+        message_records(*(np.array([k]) for k in (1, 1 << 32, 7, 7)), [b""])
+
+
+def test_files_of_a_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "HELD_BYTES", 4000)
+    rows = R.encode(spark.range(1000).selectExpr("id AS _log_time", "id AS a"), "t/A", "int64 a", "ros1").withColumn("topic", F.lit("/a"))
+    files = R.pack_files(rows, {"/a": ("t/A", "int64 a", "ros1")}, 1)
+    found = files.orderBy("path").collect()
+    assert len(found) == 10 and len({r.path for r in found}) == 10
+    got = R.envelopes(files).select("_log_time", "_sequence").collect()
+    assert sorted((r._log_time, r._sequence) for r in got) == [(i, i) for i in range(1000)]
+
+
 def test_export_file_by_tasks(spark, tmp_path):
     rows = spark.range(60_000).repartition(7).select((F.col("id") % 30_000).alias("_log_time"), F.col("id").alias("n"), F.rpad(F.hex("id"), 60, "x").alias("s"))
     frames = {"/own": rows.filter("n % 3 = 0").withColumn("_sequence", 90_000 - F.col("n")), "/running": rows.filter("n % 3 > 0")}

@@ -24,7 +24,7 @@ from tidelog.functions.codecs import Codec
 from tidelog.functions.definitions import Registry, spark_schema
 from tidelog.functions.names import table_name
 from tidelog.operators.evolution import compare_schemas, project
-from tidelog.sources.container import Channel, Message, Schema, Summary, Unpacker, pack, read_summary
+from tidelog.sources.container import RECORD, Channel, Message, Schema, Summary, Unpacker, pack, read_summary
 from tidelog.sources.shared import shared_folder
 
 ENVELOPE = "_log_time long, _publish_time long, _sequence long, _channel_id int, topic string, message_encoding string, schema_name string, schema_encoding string, schema_data binary, data binary"
@@ -33,7 +33,7 @@ META = ["_log_time", "_publish_time", "_sequence", "_channel_id"]
 #: Message encodings and the codec that reads them.
 ENCODINGS = {"ros1": "packed", "ros1msg": "packed", "cdr": "cdr", "protobuf": "protobuf"}
 SCHEMA_ENCODINGS = {"cdr": "ros2msg", "protobuf": "protobuf"}
-BATCH_ROWS, BATCH_BYTES = 4096, 64 << 20
+BATCH_ROWS, BATCH_BYTES, HELD_BYTES = 4096, 64 << 20, 16 << 20
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -299,8 +299,8 @@ def encoder(schema_name: str, schema: str | bytes, encoding: str) -> Callable:
 
 
 def pack_files(messages: DataFrame, topics: dict[str, tuple[str, str | bytes, str]], files: int | None = None, compression: str = "zstd", file_bytes: int = 128 << 20) -> DataFrame:
-    """(path, content): recordings of rows (topic, _log_time, data), each in order of time; ``files`` of them, or as many as hold
-    ``file_bytes`` of payloads each. ``topics``: topic -> (schema name, schema text, message encoding)."""
+    """(path, content): recordings of rows (topic, _log_time, data), each in order of time, from ``files`` ranges of time, or as many as hold
+    ``file_bytes`` of records each; a range that is larger than ``HELD_BYTES`` makes several, as a file is held whole. ``topics``: topic -> (schema name, schema text, message encoding)."""
     names = sorted(topics)
     schemas = [Schema(i + 1, topics[t][0], SCHEMA_ENCODINGS.get(topics[t][2], "ros1msg"), x if isinstance(x := topics[t][1], bytes) else x.encode()) for i, t in enumerate(names)]
     channels = [Channel(i, i + 1, t, topics[t][2]) for i, t in enumerate(names)]
@@ -315,11 +315,23 @@ def pack_files(messages: DataFrame, topics: dict[str, tuple[str, str | bytes, st
                     n = counts[topic] = counts.get(topic, -1) + 1
                     yield Message(place[topic], n, log, log, data)
 
-        content = b"".join(pack(schemas, channels, each(), compression))
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():05d}.mcap"]), pa.array([content], pa.binary())], names=["path", "content"])
+        rows, number = each(), 0
+        following = next(rows, None)
+
+        def some() -> Iterator[Message]:
+            nonlocal following
+            size = 0
+            while following is not None and size < HELD_BYTES:
+                size += RECORD.itemsize + len(following.data)
+                yield following
+                following = next(rows, None)
+
+        while following is not None:
+            content = b"".join(pack(schemas, channels, some(), compression))
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId():05d}-{number:05d}.mcap"]), pa.array([content], pa.binary())], names=["path", "content"])
+            number += 1
 
     if files is None:
-        files = max(1, -(-(messages.agg(F.sum(F.length("data"))).first()[0] or 0) // file_bytes))
+        files = max(1, -(-(messages.agg(F.sum(F.length("data") + RECORD.itemsize)).first()[0] or 0) // file_bytes))
     dealt = messages.select("topic", "_log_time", "data").repartitionByRange(files, "_log_time").sortWithinPartitions("_log_time", "topic")
     return dealt.mapInArrow(run, "path string, content binary")
