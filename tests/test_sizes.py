@@ -11,6 +11,7 @@ from tidelog.errors import UnsupportedFormat
 from tidelog.operators.export import export_file
 from tidelog.sources import recording as R
 from tidelog.sources.container import Channel, Message, Schema, Unpacker, message_records, opening, read_summary
+from tidelog.streaming import events as S
 
 QUERIES = __spark_entry__.queries()
 
@@ -73,3 +74,12 @@ def test_approximate_plan_and_odd_groups(spark, tmp_path):
     got = QUERIES["sql_agg_approx"](spark, write(spark, tmp_path, "lineitem", rows, "l_returnflag string, l_partkey long, l_extendedprice double"))
     assert sorted(got.collect(), key=str) == sorted([(k, True, True) for k in ("A", "B", "C", "D", None)], key=str)
     assert "percentile_cont" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Expand" not in plan
+
+
+def test_partitions_of_a_state(spark, tmp_path):
+    write(spark, tmp_path, "in", [(i % 5, i) for i in range(50)], "k long, s long")
+    stream = spark.readStream.schema("k long, s long").parquet(f"{tmp_path}/in.parquet").withColumn("at", F.timestamp_seconds("s"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    S.drain(S.first_seen(stream, "at", "1 day", ["k"]), str(tmp_path / "out"), str(tmp_path / "state"), partitions=7)
+    assert len([p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]) == 7 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5

@@ -214,6 +214,9 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("n")
 
 
+STATE_BYTES = 2 << 20  # of the events' files for each partition of the state; a task sorts its partition's rows
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of each user's events that are less than a day apart, as a stream into Parquet files; a last far event, left out again, closes them all."""
     schema, place = _table(spark, sf_dir, "events").schema, _folder(spark)
@@ -221,7 +224,10 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     _table(spark, sf_dir, "events").coalesce(1).write.parquet(f"{place}/in/1")
     first, last = (spark.read.parquet(f"{place}/in/{i}").inputFiles()[0] for i in (1, 2))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{place}/in").withColumn("at", F.col("ts").cast("timestamp"))
-    S.drain(S.sessions(stream.filter("user_id IS NOT NULL"), "at", "1 day", "3650 days", ["user_id"], [F.count(F.lit(1)).alias("n")]), f"{place}/out", f"{place}/state")
+    found = S.sessions(stream.filter("user_id IS NOT NULL"), "at", "1 day", "3650 days", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/in/1")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    S.drain(found, f"{place}/out", f"{place}/state", partitions=max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // STATE_BYTES)))
     assert first != last
     return spark.read.parquet(f"{place}/out").filter("user_id >= 0").select("user_id", F.unix_micros("session_start").alias("start"), "n")
 

@@ -38,6 +38,14 @@ def first_seen(rows: DataFrame, time: str, late: str, keys: list[str]) -> DataFr
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there now, into Parquet files that a restart neither loses nor repeats."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Runs a stream over all that is there now, into Parquet files that a restart neither loses nor repeats. ``partitions``: of a new
+    checkpoint's state (else the session's number of shuffle partitions); a later run keeps them."""
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    try:
+        conf.set(key, str(partitions or before))
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)  # the query has its own copy
+    query.awaitTermination()
