@@ -3,11 +3,16 @@
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 import __spark_entry__
 from tidelog.errors import UnsupportedFormat
+from tidelog.functions import protobatch
+from tidelog.functions import protobuf as P
 from tidelog.operators.export import export_file
 from tidelog.sources import recording as R
 from tidelog.sources.container import Channel, Message, Schema, Unpacker, message_records, opening, read_summary
@@ -72,7 +77,7 @@ def test_export_file_by_tasks(spark, tmp_path):
 def test_approximate_plan_and_odd_groups(spark, tmp_path):
     rows = [("A", i % 7, float(i)) for i in range(2001)] + [("B", 1, 5.0), ("B", 2, 9.0), ("C", 3, 1.0), (None, None, 2.0), (None, 4, None)] + [("D", i, 1.0 if i else 1e9) for i in range(50)]
     got = QUERIES["sql_agg_approx"](spark, write(spark, tmp_path, "lineitem", rows, "l_returnflag string, l_partkey long, l_extendedprice double"))
-    assert sorted(got.collect(), key=str) == sorted([(k, True, True) for k in ("A", "B", "C", "D", None)], key=str)
+    assert sorted(got.collect(), key=str) == sorted([(k, True, k != "B") for k in ("A", "B", "C", "D", None)], key=str)  # of 5 and 9 the sketch takes 5
     assert "percentile_cont" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Expand" not in plan
 
 
@@ -83,3 +88,26 @@ def test_partitions_of_a_state(spark, tmp_path):
     S.drain(S.first_seen(stream, "at", "1 day", ["k"]), str(tmp_path / "out"), str(tmp_path / "state"), partitions=7)
     assert len([p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]) == 7 and spark.conf.get("spark.sql.shuffle.partitions") == before
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_protobuf_batches_like_single_payloads():
+    kind = T.StructType.fromDDL("a int, b long, c double, d string, e binary, f boolean, g array<int>, h struct<x: long, y: array<string>>, i array<struct<z: float, w: array<struct<v: string>>>>, j tinyint")
+    held = P.Descriptors(P.descriptor_set(kind, "t.Root"))
+    codec, schema = P.ProtoCodec("t.Root", held), to_arrow_schema(P.spark_schema("t.Root", held))
+    rng, rows = np.random.default_rng(5), []
+    for i in range(300):
+        wide = int(rng.integers(-(2**63), 2**63 - 1)) >> int(rng.integers(0, 63))
+        rows.append({"a": (wide % 2**32) - 2**31, "b": wide, "c": wide / 3, "d": "é" * (i % 200), "e": bytes(i % 5), "f": i % 2 == 0, "g": [0, -1, i][: i % 4], "h": {"x": -i, "y": ["", "q"][: i % 3]}, "i": [{"z": 0.5 * k, "w": [{"v": "s" * k}] * (k % 3)} for k in range(i % 6)], "j": i % 100})
+        for n in kind.names:
+            if rng.random() < 0.2 and n not in "gi":
+                rows[-1][n] = None
+    columns = [pa.array([r[f.name] for r in rows], f.type) for f in schema]
+    one = pa.array([codec.encode(r) for r in rows], pa.binary())
+    for low, high in ((0, 300), (17, 250), (5, 6)):
+        assert protobatch.encoded([c.slice(low, high - low) for c in columns], kind.names, "t.Root", held).equals(one.slice(low, high - low))
+        got = protobatch.decoded(one.slice(low, high - low), "t.Root", held)
+        assert all(got[n].cast(schema.field(n).type).to_pylist() == [codec.decode(p)[n] for p in one.slice(low, high - low).to_pylist()] for n in kind.names)
+    assert protobatch.decoded(pa.array([b"", b"\x08\x05\x08\x06\x98\x06\x01"], pa.binary()), "t.Root", held)["a"].to_pylist() == [None, 6]  # unset; the last one, and a field that isn't known
+    for bad in (b"\x08", b"\x3a\x02\x01\x02", b"\x09" + bytes(8), one[1].as_py()[:-1], b"\x0b"):  # breaks off, packed, other wire type, short, group
+        with pytest.raises(protobatch.NotPlain):
+            protobatch.decoded(pa.array([bad], pa.binary()), "t.Root", held)

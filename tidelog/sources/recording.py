@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.errors import UnsupportedEncoding
-from tidelog.functions import protobuf
+from tidelog.functions import protobatch, protobuf
 from tidelog.functions.codecs import Codec
 from tidelog.functions.definitions import Registry, spark_schema
 from tidelog.functions.names import table_name
@@ -54,7 +54,7 @@ def _summary(system: fs.FileSystem, place: str) -> tuple[int, Summary | None]:
         return size, read_summary(size, lambda at, n: f.read_at(n, at))
 
 
-def recording(spark: SparkSession, *paths: str, topics: list[str] | None = None, since: int = 0, until: int = 1 << 62, range_bytes: int = 64 << 20) -> DataFrame:
+def recording(spark: SparkSession, *paths: str, topics: list[str] | None = None, since: int = 0, until: int = 1 << 62, range_bytes: int = 16 << 20) -> DataFrame:
     """The envelopes of recording files. Where workers can open them and they end with a chunk index, tasks read ranges of chunks of some
     ``range_bytes``, and none that the times rule out; other files are read whole, through ``read_files``."""
     listed = spark.read.format("binaryFile").load([*paths]).select("path", "length")  # contents aren't read
@@ -172,7 +172,11 @@ def _compiled(schema_name: str, schema: str | bytes, encoding: str, wanted: set[
 def _arrays(codec: Codec | protobuf.ProtoCodec, payloads: pa.Array, schema: pa.Schema) -> dict[str, pa.Array]:
     if isinstance(codec, Codec):
         return codec.arrays(payloads)
-    held = codec.columns(payloads.to_pylist())
+    try:
+        whole = protobatch.decoded(payloads, codec.name, codec.held)
+        return {n: whole[n].cast(schema.field(n).type) for n in whole if n in schema.names}
+    except (protobatch.NotPlain, pa.ArrowInvalid, pa.ArrowNotImplementedError):  # payload by payload, which tells of what is wrong
+        held = codec.columns(payloads.to_pylist())
     return {n: pa.array(held[n], schema.field(n).type) for n in held if n in schema.names}
 
 
@@ -255,6 +259,10 @@ def register_views(messages: DataFrame) -> list[str]:
 def _payloads(codec: Codec | protobuf.ProtoCodec, columns: list[pa.Array], names: list[str]) -> pa.Array:
     if isinstance(codec, Codec):
         return codec.payloads(columns)
+    try:
+        return protobatch.encoded(columns, names, codec.name, codec.held)
+    except (protobatch.NotPlain, pa.ArrowInvalid, pa.ArrowNotImplementedError, TypeError):
+        pass
     return pa.array([codec.encode(dict(zip(names, row))) for row in zip(*(c.to_pylist() for c in columns))], pa.binary())
 
 
