@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -477,6 +478,38 @@ def test_topics_from_all_texts(spark):
     assert one[0] == pytest.approx(np.log((len(distinct) + 1) / (have + 1)) + 0.1)
 
 
+def test_tokens_by_distinct_words():
+    ranks = bpe.ranks_of(TOKENS[0])
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    counter, r, encoded = mixing.TokenCounter(ranks, P.PATTERN), random.Random(3), []
+    whole = counter.ids
+    counter.ids = lambda text: encoded.append(len(text)) or whole(text)
+    usual = [" ".join(r.choice(WORDS) for _ in range(200)) for _ in range(50)]
+    assert counter.counts(pa.array(usual)).tolist() == [len(library.encode_ordinary(t)) for t in usual]
+    assert sum(encoded) < sum(map(len, usual)) / 5  # a word of many texts once
+    spaces = [*map(chr, [*range(9, 14), 28, 31, 32, 32, 32, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B])]
+    odd = ["", " ", "  ", "a b ", " a b", "a  b c", "a b\n c d", "a x\ny b c\n", mixing.NO_TOKEN + " a " + mixing.NO_TOKEN + " b"]
+    odd += ["".join(r.choice([*spaces, "a", "'s", "it", "7", "...", "\u00e9", " the", " 's", " b", " c", " d"]) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    assert counter.counts(pa.array(["x", *odd]).slice(1)).tolist() == [len(library.encode_ordinary(t)) for t in odd]
+    other = mixing.TokenCounter(ranks, r"\S+ \S+|[\s\S]")  # a pattern whose matches hold spaces
+    assert other.counts(pa.array(usual)).tolist() == [len(other.ids(t)) for t in usual]
+
+
+def test_first_centres_read_few_times(spark, monkeypatch):
+    rows, _ = themed(spark)
+    df = table(spark, rows)
+    counted = df.select(F.xxhash64("text").alias("hash"), mixing.features(df, *TOKENS).alias("f")).select("hash", "f.terms", "f.counts").distinct().cache()
+    worth, jobs, least = mixing.damped(mixing.term_weights(counted)), [], mixing.least_like
+    monkeypatch.setattr(mixing, "least_like", lambda *a: jobs.append(1) or least(*a))
+    got = mixing.first_centres(counted, worth)
+    kept = counted.orderBy("hash").toArrow().combine_chunks()
+    x = mixing.term_vectors(*(kept.column(c).chunk(0) for c in ("terms", "counts")), worth, np.zeros((len(kept), mixing.TERMS)))
+    want = [x[0]]  # the text of least hash, and each time the one least like those before
+    while len(want) < mixing.TOPIC_COUNT:
+        want.append(x[np.argmin((x @ np.array(want).T).max(axis=1))])
+    assert np.array_equal(got, np.array(want)) and len(jobs) < mixing.TOPIC_COUNT
+
+
 def test_term_counts_are_whole():
     texts_ = ["", "a " * 70_000 + "b " * 64 + "c " * 63 + "d", " \n", "B b"]
     terms, counts = mixing.term_counts(texts_)

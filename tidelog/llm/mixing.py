@@ -9,7 +9,8 @@ that holds less than its target gives all it has, and the rest falls on the othe
 Topics are clusters of documents by their terms: words are hashed to ``TERMS`` buckets, counts are damped and weighted by inverse document
 frequency, and a text belongs to the nearest of ``TOPIC_COUNT`` centres by cosine. Frequencies and centres come from every distinct text of the
 table, whole: terms are counted once and saved, and each step of spherical k-means (a centre begun at the text that is least like those before, then at
-most ``STEPS`` rounds) reads these counts in one job that gives the driver sums only. Vectors are whole numbers whose sums and products are
+most ``STEPS`` rounds) reads these counts in one job that gives the driver sums only, or ``FAR`` texts of a task that are least like the centres so far, from
+which later centres begin without reading again where no other text can be less like them. Vectors are whole numbers whose sums and products are
 exact, so the centres depend neither on partitions nor on the order of rows.
 
 Targets are mappings from category to share; categories that a mapping doesn't name are raked together
@@ -47,7 +48,15 @@ SEED, ROUNDS, TOLERANCE = 23, 500, 1e-10
 TERMS, TOPIC_COUNT, STEPS = 1024, 8, 30
 #: The largest count that an entry of 16 bits holds beside its term, and the length of a vector: sums of 2 ** 33 texts are exact.
 SHORT, UNIT = 63, 1 << 20
-BLOCK = 128  # rows of a step
+BLOCK = 64  # rows of a step
+FAR = 16
+#: A library without special tokens looks for one at every character.
+NO_TOKEN = "\0\1no token\1\0"
+#: A pattern none of whose matches holds a space after another character, if not white space alone. So a text may be cut before each space between two
+#: characters that aren't white space, and equal words have equal tokens.
+BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text whose words are looked at together.
+WORD_BYTES = 8 << 20
 #: Target shares of the query: the largest source is to shrink to a fifth. Topics have no names that a target could be set for, so by
 #: default their shares of all tokens are raised to ``TEMPER`` and made to sum to 1: frequent ones shrink, rare ones grow.
 SOURCES = {"src0": 0.2} | {f"src{i}": 0.04 for i in range(1, 20)}
@@ -58,7 +67,7 @@ KEEP = 0.5
 FEATURES = "struct<tokens: bigint, terms: binary, counts: binary>"
 
 
-_LIBRARY: dict[str, tiktoken.Encoding] = {}
+_COUNTERS: dict[tuple, TokenCounter] = {}
 
 
 def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -146,24 +155,38 @@ def worded(terms: pa.Array) -> np.ndarray:
     return np.sign(pc.binary_length(terms).to_numpy(zero_copy_only=False)).astype(float)
 
 
-def least_like(vectors: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray | None:
-    """Of all texts with words the vector that is least like any centre, of several the one of least hash."""
+def least_like(vectors: DataFrame, worth: np.ndarray, centres: np.ndarray) -> tuple[list[tuple], tuple]:
+    """The (likeness, hash, vector) of texts with words that are least like any centre, of equal ones those of least hash, at most ``FAR`` of a task;
+    and a (likeness, hash) that all other texts have at least."""
 
-    def work(rows: Iterator[list[pa.Array]]) -> tuple | None:
-        best, room = None, np.zeros((BLOCK, TERMS))
+    def work(rows: Iterator[list[pa.Array]]) -> list[tuple]:
+        best, room = [], np.zeros((BLOCK, TERMS))
         for hashes, terms, counts in rows:
             x = term_vectors(terms, counts, worth, room)
-            like = (x @ centres.T).max(axis=1, initial=0)
-            like[worded(terms) == 0] = np.inf
-            if np.isinf(like.min()):
-                continue
-            _, i = min((hashes[i].as_py(), i) for i in np.flatnonzero(like == like.min()).tolist())
-            own = (like[i], hashes[i].as_py(), x[i].tolist())
-            best = own if best is None else min(best, own)
+            like, own = (x @ centres.T).max(axis=1, initial=0), hashes.to_numpy()
+            able = worded(terms) > 0
+            if len(best) == FAR:
+                able &= (like < best[-1][0]) | (like == best[-1][0]) & (own <= best[-1][1])
+            best += [(float(like[i]), int(own[i]), x[i].astype("<i4").tobytes()) for i in np.flatnonzero(able).tolist()]
+            best = sorted(best)[:FAR]
         return best
 
-    found = [p for p in of_tasks(vectors, work) if p is not None]
-    return np.array(min(found)[2]) if found else None
+    parts = of_tasks(vectors, work)
+    return [t for p in parts for t in p], min((p[-1][:2] for p in parts if len(p) == FAR), default=(np.inf, 0))
+
+
+def first_centres(vectors: DataFrame, worth: np.ndarray) -> np.ndarray | None:
+    """``TOPIC_COUNT`` vectors, each of the text that is least like those before, of several the one of least hash; None if no text has words."""
+    centres, found, limit = np.zeros((0, TERMS)), [], (-1.0, 0)
+    while len(centres) < TOPIC_COUNT:
+        if not found or min(found) >= limit:  # likeness only grows
+            found, limit = least_like(vectors, worth, centres)
+            if not found:
+                return None
+        new = np.frombuffer(min(found)[2], "<i4").astype(float)
+        centres = np.vstack([centres, new])
+        found = [(max(like, float(np.frombuffer(x, "<i4") @ new)), own, x) for like, own, x in found]
+    return centres
 
 
 def nearest_sums(vectors: DataFrame, worth: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,13 +207,11 @@ def nearest_sums(vectors: DataFrame, worth: np.ndarray, centres: np.ndarray) ->
 
 def fit_topics(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """Term weights and centres, in order of their size, from all rows (hash, terms, counts); None if no text has words."""
-    weights, centres = term_weights(vectors), np.zeros((0, TERMS))
+    weights = term_weights(vectors)
     worth = damped(weights)
-    for _ in range(TOPIC_COUNT):
-        far = least_like(vectors, worth, centres)
-        if far is None:
-            return None
-        centres = np.vstack([centres, far])
+    centres = first_centres(vectors, worth)
+    if centres is None:
+        return None
     for _ in range(STEPS):
         sums, sizes = nearest_sums(vectors, worth, centres)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -225,23 +246,65 @@ def features(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 
     @F.arrow_udf(FEATURES)
     def counted(column: pa.Array) -> pa.Array:
-        if name not in _LIBRARY:  # a worker's own, made once
-            _LIBRARY.clear()
-            _LIBRARY[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=held.value, special_tokens={})
-        tokens: list[int] = []
-        parts = [term_counts([])]
+        if (name, pattern) not in _COUNTERS:  # a worker's own, made once
+            _COUNTERS.clear()
+            _COUNTERS[name, pattern] = TokenCounter(held.value, pattern)
+        tokens, parts = [np.zeros(0, np.int64)], [term_counts([])]
         batch = pa.RecordBatch.from_arrays([pc.fill_null(column, "")], names=["text"])
-        for part in steps(iter([batch]), "text", 2 << 20):
-            for (few,) in blocks(part.column(0)):
-                own = few.to_pylist()
-                tokens += [len(_LIBRARY[name].encode_ordinary(t)) for t in own]
-                parts.append(term_counts(own))
+        for part in steps(iter([batch]), "text", WORD_BYTES):
+            tokens.append(_COUNTERS[name, pattern].counts(part.column(0)))
+            parts += [term_counts(few.to_pylist()) for (few,) in blocks(part.column(0))]
         release()
-        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), *(pa.concat_arrays(p) for p in zip(*parts))], names=["tokens", "terms", "counts"])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), *(pa.concat_arrays(p) for p in zip(*parts))], names=["tokens", "terms", "counts"])
 
     return counted(F.col(f"`{text_col}`").cast("string"))
 
 
+class TokenCounter:
+    """Numbers of tokens of texts. Where the pattern allows, each distinct word of many texts is encoded once; texts that have white space beside a space are encoded whole."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        top = max(ranks.values(), default=-1) + 1
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={NO_TOKEN: top})
+        self.by_words, self.lengths = pattern == BY_WORDS, np.zeros(top + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.library.encode_to_numpy(text, disallowed_special=())  # no list of ids
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """The number of tokens of each distinct word behind a space; -1 for an empty one and one with white space at an end."""
+        good = pc.and_(pc.equal(pc.utf8_trim_whitespace(words), words), pc.greater(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
+        out, kept = np.full(len(words), -1, np.int64), words.filter(pa.array(good))
+        if len(kept):
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), " ")[0].as_py()
+            ends = np.cumsum(pc.binary_length(kept).to_numpy().astype(np.int64) + 1)
+            out[good] = np.diff(np.searchsorted(np.cumsum(self.lengths[self.ids(" " + whole)]), ends, side="right"), prepend=0)
+        return out
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """``texts`` has no nulls."""
+        if not self.by_words:
+            return np.array([len(self.ids(t)) for t in texts.to_pylist()], np.int64)
+        lists = pc.split_pattern(texts, " ")
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(begins[0], begins[-1] - begins[0])
+        begins -= begins[0]
+        coded = words.dictionary_encode()
+        each = self.of_words(coded.dictionary)[coded.indices.to_numpy()]
+        first, last = begins[:-1], begins[1:] - 1
+        each[first] = each[last] = 0  # the ends of a text have other neighbours
+        sums, bad = (np.diff(np.concatenate([[0], np.cumsum(x)])[begins]) for x in (each, each < 0))
+        out = []
+        for text, n, a, b, size, wrong in zip(texts, sums.tolist(), words.take(pa.array(first)).to_pylist(), words.take(pa.array(last)).to_pylist(), np.diff(begins).tolist(), bad.tolist()):
+            if size < 3 or wrong or a[-1:].isspace() or b[:1].isspace():
+                out.append(len(self.ids(text.as_py())))
+            else:
+                out.append(len(self.ids(a)) + n + len(self.ids(" " + b)))
+        return np.array(out, np.int64)
+
+
 def tempered(tokens: dict[str, float]) -> dict[str, float]:
     """The default targets of topics, from their tokens."""
     raised = {f"t{i}": float(tokens.get(f"t{i}") or 0) ** TEMPER if tokens.get(f"t{i}") else 0.0 for i in range(TOPIC_COUNT)}
@@ -271,16 +334,18 @@ def raked(sums: np.ndarray, targets: list[np.ndarray], budget: float) -> np.ndar
     return now
 
 
-def mixed_table(df: DataFrame, vocabulary: str, pattern: str, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict | None = None, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """Two structs: ``row``, all columns of ``df``, and ``mix``: source, lang and topic class, tokens,
+def mixed_table(df: DataFrame, vocabulary: str, pattern: str, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict | None = None, keep: float = KEEP, seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
+    """Two structs: ``row``, all columns of ``df`` or those named, source and lang among them, and ``mix``: source, lang and topic class, tokens,
     weight (of a token of its cell, 1 on average), probability and kept."""
     scratch = Scratch(df.sparkSession, "mixing")
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(17))
-    counted = scratch.save(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), features(df, vocabulary, pattern).alias("f"), text.alias("hash")))
+    draw = F.shiftrightunsigned(F.xxhash64(*(F.col(c) for c in ("doc_id", "text") if c in df.columns), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns or df.columns))
+    counted = scratch.save(df.select(row.alias("row"), features(df, vocabulary, pattern).alias("f"), text.alias("hash"), draw.alias("draw")))
     vectors = scratch.save(counted.select("hash", "f.terms", "f.counts").distinct())
     model = fit_topics(vectors)
     scratch.drop(vectors)
-    held = counted.select("row", F.struct("f.tokens", topic_of(F.col("f.terms"), F.col("f.counts"), model).alias("topic")).alias("f"))
+    held = counted.select("row", "draw", F.struct("f.tokens", topic_of(F.col("f.terms"), F.col("f.counts"), model).alias("topic")).alias("f"))
     own_topics = dict.fromkeys(f"t{i}" for i in range(TOPIC_COUNT)) if topics is None else topics
     cell = [class_of(F.col("row.source"), sources), class_of(F.col("row.lang"), languages), class_of(F.col("f.topic"), own_topics)]
     rows = held.groupBy(cell[0].alias("s"), cell[1].alias("l"), cell[2].alias("t")).agg(F.sum("f.tokens").alias("n")).collect()  # at most a row a cell
@@ -298,8 +363,7 @@ def mixed_table(df: DataFrame, vocabulary: str, pattern: str, sources: dict = SO
     weights = chance / keep if keep else chance
     cells = [(*(names[a][i] for a, i in enumerate(at)), float(weights[at]), float(chance[at])) for at in product(*(range(len(n)) for n in names)) if sums[at] > 0]
     table = df.sparkSession.createDataFrame(cells, "s string, l string, t string, weight double, probability double")
-    draw = F.shiftrightunsigned(F.xxhash64(*(F.col(f"row.{c}") for c in ("doc_id", "text") if c in df.columns), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    wide = held.select("row", F.struct(cell[0].alias("source"), cell[1].alias("lang"), cell[2].alias("topic"), F.col("f.tokens").alias("tokens")).alias("c"), draw.alias("draw"))
+    wide = held.select("row", F.struct(cell[0].alias("source"), cell[1].alias("lang"), cell[2].alias("topic"), F.col("f.tokens").alias("tokens")).alias("c"), "draw")
     joined = wide.join(F.broadcast(table), (F.col("c.source") == F.col("s")) & (F.col("c.lang") == F.col("l")) & (F.col("c.topic") == F.col("t")), "left")
     chance_of = F.coalesce("probability", F.lit(1.0))  # a cell without any token
     return joined.select("row", F.struct("c.*", F.coalesce("weight", F.lit(1.0)).alias("weight"), chance_of.alias("probability"), (F.col("draw") < chance_of).alias("kept")).alias("mix"))

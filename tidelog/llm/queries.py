@@ -36,7 +36,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_table(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).select(F.col("row.doc_id").alias("doc_id"), "mix.*")
+    return mixing.mixed_table(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, columns=["doc_id", "source", "lang"]).select(F.col("row.doc_id").alias("doc_id"), "mix.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
