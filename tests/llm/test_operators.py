@@ -6,6 +6,7 @@ import math
 import pickle
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -16,7 +17,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, fingerprint, htmltext, jaccard, mixing, quality, skew, telephony, toxicity, urls
+from tidelog.llm import bpe, chat, fingerprint, htmltext, jaccard, mixing, quality, saved, skew, telephony, toxicity, urls
+from tidelog.llm.saved import Scratch, trim_native
 from tidelog.llm.shingles import shingle_sets, word_hashes
 
 TOKENS = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
@@ -190,6 +192,34 @@ def test_jaccard(spark, monkeypatch):
     assert {x.doc_id: x.n_links for x in got} == {a: sum(b != a and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for b in sets) for a in sets}
 
 
+def test_components(spark, monkeypatch, tmp_path):
+    r = random.Random(5)
+    pairs = [(r.randint(-60, 60), r.randint(-60, 60)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(20)] + [(300, 301 + i) for i in range(20)] + [(7, 7), (301, 300)]
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    spark.createDataFrame(pairs, "u long, v long").repartition(3).write.parquet(f"{tmp_path}/edges")
+    edges, tracker = spark.read.parquet(f"{tmp_path}/edges"), spark.sparkContext.statusTracker()
+    for most, jobs in ((jaccard.EDGES, 5), (0, 500), (80, 500)):  # one task; rounds; rounds first
+        monkeypatch.setattr(jaccard, "EDGES", most)
+        spark.sparkContext.setJobGroup(group := f"components {most}", "")
+        got = jaccard.components(edges, Scratch(spark, "test")).collect()
+        spark.sparkContext.setJobGroup("", "")
+        assert sorted(map(tuple, got)) == sorted((x, y) for x, y in least.items() if x != y)
+        assert len(tracker.getJobIdsForGroup(group)) <= jobs  # each round takes 15 stages or so, whose tasks the driver remembers
+    assert not jaccard.components(edges.limit(0), Scratch(spark, "test")).collect()
+
+
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(saved, "trim_native", lambda s: given.append(trim_native(s)))
+    Scratch(spark, "test").save(spark.range(3))
+    version = spark._jvm.java.lang.Runtime.version()
+    known = sys.platform == "linux" and (version.feature() > 17 or version.feature() == 17 and version.update() >= 9)
+    assert given == [known]
+
+
 def test_looked_up(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT", 4)
     rows = spark.createDataFrame([(1, 7)] * 50 + [(2, 7), (3, 8), (None, 9)], "k long, x int")

@@ -16,7 +16,7 @@ for each such shingle, and no pair is missed:
 
 1. Each class goes with its set to the cells of its ``FIRST`` least shingles, which near copies are likely to share. A cell over ``CELL`` classes
    or ``HELD`` shingles is dealt into parts by hash. In a part the tree's pairs are verified at once, and a pair whose classes are already
-   connected is skipped. The links' components are found by large-star and small-star rounds.
+   connected is skipped. The links' components are found by one task, over ``EDGES`` links by large-star and small-star rounds.
 2. All shingles of the prefixes make cells; those whose classes are all in one component by now are
    done. In parts of the others, the cells of each class's ``NEAREST`` least open shingles, the tree gives each class its likeliest partner in
    another component, so no more pairs than classes. They are verified, and components are found again: so members of a group of near copies that the
@@ -51,6 +51,8 @@ from tidelog.llm.skew import looked_up
 GROUPS, LEAF, CELL, FIRST, NEAREST, HEAD = 64, 16, 512, 2, 4, 16
 #: Shingles of all classes of a part of a cell together, about, where sets are held.
 HELD = 1 << 19
+#: Links that one task joins into components, in some 200 MB; more go through rounds, of some 15 stages each.
+EDGES = 1 << 21
 #: Buckets of shingles whose documents are counted, and buckets in a block; the counts take some 4 MB whatever the input.
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 #: A count of ``FULL`` means that many or more; it bounds nothing.
@@ -278,9 +280,42 @@ def _pairs_in_cell(rows: list[tuple], percent: int) -> list[tuple]:
     return [(max(rows[a][1], rows[b][1]), min(rows[a][1], rows[b][1])) for a, b in zip(i.tolist(), j.tolist()) if lesser[a].isdisjoint(lesser[b])]
 
 
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges ``u``, ``v``, sorted, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return nodes, nodes[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """``components`` of few edges."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if ends:
+            nodes, least = least_reached(*(np.concatenate(x) for x in zip(*ends)))
+            others = np.flatnonzero(nodes != least)
+            for k in range(0, len(others), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[others[k : k + (1 << 16)]]) for x in (nodes, least)], schema=schema)
+        release()
+
+    return edges.select("u", "v").repartition(1).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): each node of ``edges`` but the least of its component, and that least one. Large-star and
-    small-star rounds until nothing changes; hot nodes are joined, never gathered."""
+    """(u, v): each node of ``edges`` but the least of its component, and that least one. Up to ``EDGES`` of them by one task; more by large-star and
+    small-star rounds until nothing changes or so few are left; hot nodes are joined, never gathered."""
+    if edges.count() <= EDGES:
+        return scratch.save(_in_one_task(edges))
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     edges = scratch.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(edges)
@@ -295,6 +330,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         after, edges = state(new), new
         if after == before:
             break
+        if after[0] <= EDGES:
+            new = scratch.save(_in_one_task(edges))
+            scratch.drop(edges)
+            return new
         before = after
     return edges
 
